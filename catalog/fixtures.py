@@ -135,16 +135,13 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     (vec_id % 61 = 0)."""
     df = table(spark, sf_dir, "embeddings")
     count = F.when(F.col("vec_id") % 50 == 0, F.lit(0)).otherwise(1 + F.col("vec_id") % 64).cast("int")
-    raw = F.transform(F.slice("embedding", F.lit(1), count), lambda x: x.cast("double"))
-    five = F.array(*[F.lit(d) for d in (0.0, 0.1, 0.2, 0.3, 0.4)])
+    steps = (0.0, 0.1, 0.2, 0.3, 0.4)
+    around = lambda x, n: F.array(*[x.cast("double") - F.lit(d) for d in steps[:n]])
     nested = F.transform(
-        raw,
+        F.slice("embedding", F.lit(1), count),
         lambda x, i: F.when((F.col("vec_id") % 13 == 0) & (i == 0), F.array().cast("array<double>"))
-        .when(
-            (F.col("vec_id") % 7 == 0) & (i == F.size(raw) - 1),
-            F.transform(F.slice(five, 1, 4), lambda d: x - d),
-        )
-        .otherwise(F.transform(five, lambda d: x - d)),
+        .when((F.col("vec_id") % 7 == 0) & (i == count - 1), around(x, 4))
+        .otherwise(around(x, 5)),
     )
     return df.select(
         F.col("vec_id").alias("response_no"),

@@ -1,8 +1,8 @@
 """Confidence scores of a response from its per-token confidences.
 
-The sliding scores are row-local: one Arrow-batched function receives the token confidences
-(already reduced to one double per token in the JVM) and returns all seven scores, so nothing is
-exploded and nothing is shuffled. The tumbling scores need only built-in array functions.
+The sliding scores are row-local: one Arrow-batched function receives the log-probabilities of many
+responses as one flat array and returns all seven scores of each, so nothing is exploded and nothing
+is shuffled. The tumbling scores need only built-in array functions.
 """
 
 from __future__ import annotations
@@ -10,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from voteframe.functions.text import let
 from voteframe.schemas import SCORE_NAMES, SCORES
 
 DEFAULT_GROUP = 10
+EDGE_SCORES = ("tail_confidence", "head_confidence")
 
 
 def sliding_means(values: np.ndarray, group: int, short: str = "spread") -> np.ndarray:
@@ -42,56 +43,87 @@ def sliding_means(values: np.ndarray, group: int, short: str = "spread") -> np.n
     return out
 
 
-def _scores(values: np.ndarray | None, group: int, missing: float, edge: float, short: str) -> tuple:
-    if values is None or len(values) == 0:
-        return (missing, missing, edge, edge, missing, missing, missing)
-    values = np.asarray(values, dtype=np.float64)
+def response_scores(values: np.ndarray, group: int, short: str) -> tuple:
+    """The seven scores of a non-empty array of token confidences, in canonical order."""
     groups = sliding_means(values, group, short)
     m = len(groups)
     k = max(1, int(np.ceil(m * 0.1)))
     low = np.partition(groups, k - 1)[:k]
     high = np.partition(groups, m - k)[m - k:]
-    tail, head = (values[-group:], values[:group])
+    tail, head = values[-group:], values[:group]
     return (
         groups.mean(), low.mean(), tail.mean(), head.mean(), groups.min(), high.mean(), groups.max(),
     )
 
 
+def token_means(tokens: pa.Array) -> np.ndarray:
+    """Negative mean of every inner list; NaN for an empty or null one."""
+    offsets = tokens.offsets.to_numpy()
+    flat = tokens.values.to_numpy(zero_copy_only=False).astype("float64")[:offsets[-1]]
+    sizes = np.diff(offsets)
+    out = np.full(len(sizes), np.nan)
+    filled = (sizes > 0) & tokens.is_valid().to_numpy(zero_copy_only=False)
+    if filled.any():
+        sums = np.add.reduceat(flat, offsets[:-1][sizes > 0])
+        means = np.full(len(sizes), np.nan)
+        means[sizes > 0] = -sums / sizes[sizes > 0]
+        out[filled] = means[filled]
+    return out
+
+
+def token_arrays(batch: pa.Array) -> Iterator[np.ndarray | None]:
+    """Token confidences per row of an Arrow batch, as views of one flat array. The batch holds
+    either nested log-probabilities or token confidences."""
+    values, offsets = batch.values, batch.offsets.to_numpy()
+    if pa.types.is_list(values.type) or pa.types.is_large_list(values.type):
+        flat = token_means(values)
+    else:
+        flat = values.to_numpy(zero_copy_only=False).astype("float64")
+    for i, ok in enumerate(batch.is_valid().to_numpy(zero_copy_only=False)):
+        yield flat[offsets[i]:offsets[i + 1]] if ok else None
+
+
 def all_confidence(
-    token_conf: Column, group: int = DEFAULT_GROUP, empty: str = "zero", short: str = "spread"
+    logprobs: Column, group: int = DEFAULT_GROUP, empty: str = "zero", short: str = "spread"
 ) -> Column:
-    """Struct of the seven scores.
+    """Struct of the seven scores, from nested log-probabilities or token confidences.
 
     ``empty='zero'``: no log-probabilities give 0.0, except tail and head, which are NaN (the mean
     of nothing). ``empty='nan'``: all NaN, as in batch recalculation.
     """
     if empty not in ("zero", "nan"):
         raise ValueError(f"unknown empty policy: {empty}")
-    missing = 0.0 if empty == "zero" else float("nan")
-
-    @F.pandas_udf(SCORES)
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [_scores(v, group, missing, float("nan"), short) for v in batch]
-            yield pd.DataFrame(rows, columns=list(SCORE_NAMES), dtype="float64")
-
-    return score(token_conf)
-
-
-def group_confidence(token_conf: Column, group: int = DEFAULT_GROUP, short: str = "spread") -> Column:
-    """Array of sliding group means."""
-
-    @F.pandas_udf("array<double>")
-    def slide(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series(
-                [
-                    None if v is None else sliding_means(np.asarray(v, "float64"), group, short)
-                    for v in batch
-                ]
-            )
-
-    return slide(token_conf)
+    nan = float("nan")
+    missing = 0.0 if empty == "zero" else nan
+    blank = tuple(nan if n in EDGE_SCORES else missing for n in SCORE_NAMES)
+
+    @F.arrow_udf(SCORES)
+    def score(batch: pa.Array) -> pa.Array:
+        table = np.empty((len(batch), len(SCORE_NAMES)))
+        for i, values in enumerate(token_arrays(batch)):
+            filled = values is not None and len(values) > 0
+            table[i] = response_scores(values, group, short) if filled else blank
+        columns = [pa.array(table[:, j]) for j in range(len(SCORE_NAMES))]
+        return pa.StructArray.from_arrays(columns, names=list(SCORE_NAMES))
+
+    # Marked nondeterministic so that the optimizer never evaluates it twice or moves it into a filter.
+    return score.asNondeterministic()(logprobs)
+
+
+def group_confidence(logprobs: Column, group: int = DEFAULT_GROUP, short: str = "spread") -> Column:
+    """Array of sliding group means, from nested log-probabilities or token confidences."""
+
+    @F.arrow_udf("array<double>")
+    def slide(batch: pa.Array) -> pa.Array:
+        out = [None if v is None else sliding_means(v, group, short) for v in token_arrays(batch)]
+        sizes = [0 if v is None else len(v) for v in out]
+        offsets = np.concatenate(([0], np.cumsum(sizes))).astype("int32")
+        parts = [v for v in out if v is not None]
+        flat = np.concatenate(parts) if parts else np.empty(0)
+        gone = pa.array([v is None for v in out])
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.float64()), mask=gone)
+
+    return slide.asNondeterministic()(logprobs)
 
 
 def _mean(values: Column) -> Column:

@@ -17,8 +17,8 @@ def score_responses(
     df: DataFrame, group: int = confidence.DEFAULT_GROUP, empty: str = "zero"
 ) -> DataFrame:
     """Add the seven scores computed from ``logprobs``. A map-only job: no shuffle."""
-    tokens = lp.token_confidence(F.col("logprobs"))
-    scored = df.withColumn("__scores", confidence.all_confidence(tokens, group, empty))
+    scores = confidence.all_confidence(F.col("logprobs"), group, empty)
+    scored = df.withColumn("__scores", scores)
     return scored.select("*", *[F.col("__scores")[n].alias(n) for n in SCORE_NAMES]).drop("__scores")
 
 

@@ -90,11 +90,11 @@ def ensure_confidence_columns(
     missing = [n for n in names if n not in df.columns]
     if not missing:
         return df
-    tokens = lp.token_confidence(F.col("logprobs"))
+    raw = F.col("logprobs")
     if scorer == "tumbling":
-        scores = confidence.tumbling_confidence(tokens, group)
+        scores = confidence.tumbling_confidence(lp.token_confidence(raw), group)
     else:
-        scores = confidence.all_confidence(tokens, group, "zero")
+        scores = confidence.all_confidence(raw, group, "zero")
     scored = df.withColumn("__scores", scores)
     empty = F.coalesce(F.size("logprobs"), F.lit(0)) <= 0
     added = {
