@@ -197,3 +197,37 @@ def chat_completion_text(messages: Column) -> Column:
 def lacks_marker(text: Column) -> Column:
     """True where the closing marker is missing; null text counts as missing."""
     return F.coalesce(F.instr(text, THINK_CLOSE), F.lit(0)) == 0
+
+
+def fixed_text(value: Column, digits: int) -> Column:
+    """A double with fixed decimals, rounded half to even on its exact binary value.
+
+    The JVM formatter rounds the shortest decimal form half up, which differs for values such as
+    3.3125. Here the scaled value is kept as an exact sum of two doubles (the value is split into
+    halves short enough for their products with the scale to be exact).
+    """
+    scale = float(10**digits)
+
+    def write(x: Column) -> Column:
+        size = F.abs(x)
+        spread = size * F.lit(134217729.0)
+        high = spread - (spread - size)
+        a, b = high * F.lit(scale), (size - high) * F.lit(scale)
+        whole = F.floor(a + b)
+        beyond = (a - whole - F.lit(0.5)) + b
+        up = F.when(beyond > 0, F.lit(1)).when(beyond < 0, F.lit(0)).otherwise(F.pmod(whole, F.lit(2)))
+        sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
+        text = let(
+            (whole + up).cast("bigint"),
+            lambda n: F.concat(
+                sign, F.floor(n / F.lit(10**digits)).cast("string"), F.lit("."),
+                F.lpad(F.pmod(n, F.lit(10**digits)).cast("string"), digits, "0"),
+            ),
+        )
+        return (
+            F.when(F.isnan(x), F.lit("nan"))
+            .when(size < 1e11, text)
+            .otherwise(F.format_string(f"%.{digits}f", x))
+        )
+
+    return let(value.cast("double"), write)

@@ -16,9 +16,12 @@ from voteframe.functions.text import token_count
 from voteframe.operators.ordering import HOT_ROWS, hash_row_numbers, row_numbers, sample_key
 from voteframe.operators.prompts import PLAIN_TEMPLATE, set_prompt
 from voteframe.operators.selection import filter_by_token_length
+from voteframe.session import cut_lineage
 
 # Fixed value: problems with this many responses or fewer are dropped by cleaning.
 MIN_RESPONSES = 7
+# Below this a constant rank limit is applied before the shuffle (spark.sql.window.group.limit.threshold).
+GROUP_LIMIT = 1000
 
 
 def usable_responses(df: DataFrame, token_threshold: int = 2000) -> DataFrame:
@@ -62,33 +65,48 @@ def make_sets(
     df: DataFrame, num: int, sizes: Sequence[int], fill: bool = False, seed: int = 42,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Assign responses to sets, for every set size at once.
+    """Assign responses to sets, for every set size at once and in one pass over the responses.
 
     Per problem and size, ``num * size`` responses are sampled without replacement in hash order.
     A problem with fewer keeps all of them in their own order; with ``fill`` random repeats are
     added up to ``num * size``. Only full sets remain. Adds set_size, set_no, slot, set_id.
+
+    The hash order does not depend on the size, so at most ``num * max(sizes)`` responses of a
+    problem can ever be used. Spark applies such a constant rank limit before the shuffle, which
+    keeps a huge problem from reaching one task.
     """
-    keys = ["set_size", "problem_id"]
-    counts = df.groupBy("problem_id").agg(F.count(F.lit(1)).alias("__n"))
-    sized = df.join(counts, "problem_id").withColumn(
-        "set_size", F.explode(F.array(*[F.lit(s) for s in sizes]))
+    most = num * max(sizes)
+    keyed = df.withColumn(
+        "__digest", sample_key(F.col("problem_id"), F.col("response_idx"), seed=seed)
     )
-    needed = F.col("set_size") * num
-    digest = sample_key(F.col("problem_id"), F.col("response_idx"), seed=seed)
-    ample = hash_row_numbers(
-        sized.where(F.col("__n") >= needed).withColumn("__digest", digest), keys, "__digest",
-        "__pos", hot_rows,
-    ).where(F.col("__pos") < needed).drop("__digest")
-    # Problems in the short branch have fewer than num * size rows, so this window is bounded.
-    in_order = Window.partitionBy(*keys).orderBy("response_idx")
-    short = sized.where(F.col("__n") < needed).withColumn(
-        "__pos", (F.row_number().over(in_order) - 1).cast("bigint")
+    if most < GROUP_LIMIT:
+        in_hash = Window.partitionBy("problem_id").orderBy("__digest")
+        first = keyed.withColumn("__rank", F.row_number().over(in_hash)).where(
+            F.col("__rank") <= most
+        ).withColumn("__rank", (F.col("__rank") - 1).cast("bigint"))
+    else:
+        first = hash_row_numbers(keyed, ["problem_id"], "__digest", "__rank", hot_rows).where(
+            F.col("__rank") < most
+        )
+    # What is left of a problem is bounded by ``most`` rows; below that it is complete.
+    problem = Window.partitionBy("problem_id")
+    counted = first.drop("__digest").withColumns(
+        {
+            "__n": F.count(F.lit(1)).over(problem),
+            "__own": (F.row_number().over(problem.orderBy("response_idx")) - 1).cast("bigint"),
+        }
     )
-    parts = ample.unionByName(short)
+    sized = counted.withColumn("set_size", F.explode(F.array(*[F.lit(s) for s in sizes])))
+    needed = F.col("set_size") * num
+    parts = sized.withColumn(
+        "__pos", F.when(F.col("__n") >= needed, F.col("__rank")).otherwise(F.col("__own"))
+    ).drop("__rank", "__own").where(F.col("__pos") < needed)
     if fill:
-        gaps = short.where(F.col("__pos") == 0).select(*keys, "__n")
-        repeats = gaps.withColumn(
-            "__slot", F.explode(F.sequence(F.col("__n"), (needed - 1).cast("bigint")))
+        keys = ["set_size", "problem_id"]
+        short = parts.where(F.col("__n") < needed)
+        slots = F.sequence(F.col("__n"), (needed - 1).cast("bigint"))
+        repeats = short.where(F.col("__pos") == 0).select(*keys, "__n").withColumn(
+            "__slot", F.explode(slots)
         ).withColumn("__pick", repeat_pick(F.col("problem_id"), F.col("__slot"), F.col("__n"), seed))
         source = short.withColumnRenamed("__pos", "__pick").drop("__n")
         drawn = repeats.join(source, [*keys, "__pick"]).withColumn("__pos", F.col("__slot"))
@@ -163,7 +181,7 @@ def classify_sets(sets: DataFrame) -> DataFrame:
 
 
 def mix_easy(
-    sets: DataFrame, percent: float = 50, seed: int = 42, hot_rows: int = HOT_ROWS
+    sets: DataFrame, percent: float = 50, seed: int = 42
 ) -> DataFrame:
     """Per set size: all hard sets and floor(hard * percent / 100) easy ones in hash order."""
     hard = sets.where(F.col("difficulty") == "hard")
@@ -174,20 +192,20 @@ def mix_easy(
     easy = sets.where(F.col("difficulty") == "easy").withColumn(
         "__digest", sample_key("set_id", seed=seed)
     )
-    placed = hash_row_numbers(easy, ["set_size"], "__digest", "__pos", hot_rows)
+    placed = hash_row_numbers(easy, ["set_size"], "__digest", "__pos", chunk="always")
     chosen = placed.join(quota, "set_size").where(F.col("__pos") < F.col("__quota"))
     return hard.unionByName(chosen.select(*sets.columns))
 
 
 def split_by_problem(
-    sets: DataFrame, fraction: float = 0.8, seed: int = 42, hot_rows: int = HOT_ROWS
+    sets: DataFrame, fraction: float = 0.8, seed: int = 42
 ) -> DataFrame:
     """Add ``split``: per set size the first floor(problems * fraction) problems in hash order are
     for training, the rest for validation. All sets of a problem stay together."""
     problems = sets.select("set_size", "problem_id").distinct().withColumn(
         "__digest", sample_key("problem_id", seed=seed)
     )
-    placed = hash_row_numbers(problems, ["set_size"], "__digest", "__pos", hot_rows)
+    placed = hash_row_numbers(problems, ["set_size"], "__digest", "__pos", chunk="always")
     counts = problems.groupBy("set_size").agg(F.count(F.lit(1)).alias("__n"))
     train = F.col("__pos") < F.floor(F.col("__n") * F.lit(float(fraction)))
     marked = placed.join(counts, "set_size").select(
@@ -207,7 +225,8 @@ def curate(
     ``partitionBy('set_size', 'split')`` for one output per size and split."""
     sizes = halving_sizes(size) if strategy in ("curriculum", "multitask") else [size]
     members = make_sets(df, num, sizes, fill, seed)
-    records = classify_sets(set_records(members, confidence_key, template, grader))
+    # The sets are read several times below, so they are written once.
+    records = cut_lineage(classify_sets(set_records(members, confidence_key, template, grader)), "sets")
     return split_by_problem(mix_easy(records, percent, seed), fraction, seed)
 
 
@@ -217,7 +236,14 @@ def group_solutions(
 ) -> DataFrame:
     """Number rows per problem again and cut them into consecutive full groups of ``size``; the
     remainder is dropped and at most ``max_groups`` groups remain. Adds group_idx and slot."""
-    placed = row_numbers(df, ["problem_id"], order, "__pos", hot_rows=hot_rows)
+    if max_groups and size * max_groups < GROUP_LIMIT:
+        # A constant rank limit, applied before the shuffle.
+        in_order = Window.partitionBy("problem_id").orderBy(order)
+        placed = df.withColumn("__rank", F.row_number().over(in_order)).where(
+            F.col("__rank") <= size * max_groups
+        ).withColumn("__pos", (F.col("__rank") - 1).cast("bigint")).drop("__rank")
+    else:
+        placed = row_numbers(df, ["problem_id"], order, "__pos", hot_rows=hot_rows)
     cut = placed.withColumns(
         {"group_idx": F.floor(F.col("__pos") / size), "slot": (F.col("__pos") % size).cast("int")}
     )

@@ -1,13 +1,18 @@
 """Ordered computations that stay distributed when one key, or the whole table, is one group.
 
-A window over ``partitionBy(problem)`` puts every row of a problem into one task. Here a group that
-exceeds ``hot_rows`` is cut into chunks by a monotone, row-local function of its order column, so
+A window over ``partitionBy(problem)`` puts every row of a problem into one task. Here an oversized
+group is cut into chunks by a monotone, row-local function of its order column, so
 
 * inside a chunk an ordinary window numbers or sums the rows, and
 * a small table of chunk totals supplies what lies before the chunk.
 
 The chunk of a row depends on nothing but its own value (no sampling, no sketches), so a recomputed
-task always agrees with the first attempt. Groups below ``hot_rows`` keep the plain window.
+task always agrees with the first attempt.
+
+``chunk='auto'`` first runs one small job that counts rows per key (combined on the map side). If no
+key exceeds ``hot_rows`` the plan is a plain window; otherwise the oversized keys are chunked.
+``chunk='always'`` skips the check where groups are known to be few and large, for example one
+group per metric or set size. Without keys the whole table is one group and always chunked.
 """
 
 from __future__ import annotations
@@ -39,6 +44,15 @@ def sample_key(*parts: Column | str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", *[c.cast("string") for c in cols], F.lit(str(seed))))
 
 
+def oversized(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows, or None if there are none (runs one counting job)."""
+    hot = (
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+        .where(F.col("__rows") > hot_rows).select(*keys)
+    )
+    return None if hot.isEmpty() else hot
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -46,6 +60,7 @@ def running_totals(
     measures: dict[str, Column],
     bucket: Column | None = None,
     hot_rows: int = HOT_ROWS,
+    chunk: str = "auto",
 ) -> DataFrame:
     """Add, per key, the sum of each measure over all rows that come before the row.
 
@@ -53,38 +68,33 @@ def running_totals(
     """
     keys = list(keys)
     bucket = order_bucket(F.col(order)) if bucket is None else bucket
-    names = {name: f"__m{i}" for i, name in enumerate(measures)}
-    valued = df.withColumns({names[n]: c for n, c in measures.items()})
-    if keys:
-        hot = (
-            df.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("__rows"))
-            .where(F.col("__rows") > hot_rows)
-            .select(*keys, F.lit(True).alias("__hot"))
-        )
-        cut = valued.join(hot, keys, "left").withColumn(
-            "__chunk", F.when(F.col("__hot"), bucket).otherwise(F.lit(0).cast("bigint"))
-        )
-        chunked = valued.join(hot, keys, "inner").withColumn("__chunk", bucket)
+    before = lambda *part: Window.partitionBy(*part).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    if keys and chunk == "auto":
+        hot = oversized(df, keys, hot_rows)
+        if hot is None:
+            w = before(*keys).orderBy(order)
+            return df.withColumns(
+                {n: F.coalesce(F.sum(c).over(w), zero) for n, c in measures.items()}
+            )
+        flagged = df.join(hot.withColumn("__hot", F.lit(True)), keys, "left")
+        place = F.when(F.col("__hot"), bucket).otherwise(F.lit(0).cast("bigint"))
     else:
-        cut = valued.withColumn("__chunk", bucket)
-        chunked = cut
-    totals = chunked.groupBy(*keys, "__chunk").agg(
-        *[F.sum(c).alias(c) for c in names.values()]
-    )
-    # One row per chunk: at most a few hundred thousand rows however large the group is.
-    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+        flagged, place = df, bucket
+    names = {name: f"__m{i}" for i, name in enumerate(measures)}
+    cut = flagged.withColumns({names[n]: c for n, c in measures.items()} | {"__chunk": place})
+    # One row per chunk: at most a few hundred thousand per group, however large the group is.
+    totals = cut.groupBy(*keys, "__chunk").agg(*[F.sum(c).alias(c) for c in names.values()])
+    ahead = before(*keys).orderBy("__chunk")
     offsets = totals.select(
-        *keys, "__chunk", *[F.sum(c).over(before).alias(f"{c}_off") for c in names.values()]
+        *keys, "__chunk",
+        *[F.coalesce(F.sum(c).over(ahead), zero).alias(f"{c}_off") for c in names.values()],
     )
-    local = (
-        Window.partitionBy(*keys, "__chunk").orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    joined = cut.join(offsets, [*keys, "__chunk"], "left")
+    local = before(*keys, "__chunk").orderBy(order)
+    joined = cut.join(offsets, [*keys, "__chunk"])
     for name, c in names.items():
-        inside = F.coalesce(F.sum(c).over(local), F.lit(0))
-        joined = joined.withColumn(name, F.coalesce(F.col(f"{c}_off"), F.lit(0)) + inside)
+        inside = F.coalesce(F.sum(c).over(local), zero)
+        joined = joined.withColumn(name, F.col(f"{c}_off") + inside)
     return joined.select(*df.columns, *names)
 
 
@@ -95,16 +105,19 @@ def row_numbers(
     name: str = "row_no",
     bucket: Column | None = None,
     hot_rows: int = HOT_ROWS,
+    chunk: str = "auto",
 ) -> DataFrame:
     """Zero-based position of each row within its key; ``order`` must be unique within a key."""
-    return running_totals(df, keys, order, {name: F.lit(1).cast("bigint")}, bucket, hot_rows)
+    one = {name: F.lit(1).cast("bigint")}
+    return running_totals(df, keys, order, one, bucket, hot_rows, chunk)
 
 
 def hash_row_numbers(
-    df: DataFrame, keys: Sequence[str], digest: str, name: str = "row_no", hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], digest: str, name: str = "row_no", hot_rows: int = HOT_ROWS,
+    chunk: str = "auto",
 ) -> DataFrame:
     """Zero-based position in digest order."""
-    return row_numbers(df, keys, digest, name, hash_bucket(F.col(digest)), hot_rows)
+    return row_numbers(df, keys, digest, name, hash_bucket(F.col(digest)), hot_rows, chunk)
 
 
 def ranked(
@@ -131,13 +144,13 @@ def ranked(
 
 
 def value_counts(
-    df: DataFrame, keys: Sequence[str], value: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, hot_rows: int = HOT_ROWS, chunk: str = "auto"
 ) -> DataFrame:
     """Distinct non-null values per key with ``n`` rows, ``below`` rows under it, ``total`` rows."""
     cells = (
         df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     )
-    placed = running_totals(cells, keys, value, {"below": F.col("n")}, hot_rows=hot_rows)
+    placed = running_totals(cells, keys, value, {"below": F.col("n")}, None, hot_rows, chunk)
     if keys:
         sizes = cells.groupBy(*keys).agg(F.sum("n").alias("total"))
         return placed.join(sizes, list(keys))
@@ -151,13 +164,14 @@ def exact_percentiles(
     keys: Sequence[str] = (),
     name: str = "percentiles",
     hot_rows: int = HOT_ROWS,
+    chunk: str = "auto",
 ) -> DataFrame:
     """Array of linearly interpolated percentiles per key (one row in all without keys).
 
     Exact, and without holding a group's values in one buffer: the two neighbouring order
     statistics of each fraction are found among the counted distinct values.
     """
-    cells = value_counts(df, keys, value, hot_rows)
+    cells = value_counts(df, keys, value, hot_rows, chunk)
     last = F.col("total") - F.lit(1)
     picks, build = [], []
     for i, fraction in enumerate(fractions):
@@ -174,10 +188,10 @@ def exact_percentiles(
 
 def average_ranks(
     df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "rank",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int = HOT_ROWS, chunk: str = "auto",
 ) -> DataFrame:
     """Per distinct value: its average rank minus the mean rank, so ranks are centred on zero."""
-    cells = value_counts(df, keys, value, hot_rows)
+    cells = value_counts(df, keys, value, hot_rows, chunk)
     centred = F.col("below") + (F.col("n") + 1) / F.lit(2.0) - (F.col("total") + 1) / F.lit(2.0)
     return cells.select(*keys, value, centred.alias(name))
 

@@ -102,9 +102,13 @@ def normalize_benchmark(df: DataFrame, dataset: str, order: str) -> DataFrame:
     )
 
 
-def read_solution_results(spark: SparkSession, path: str) -> DataFrame:
-    """Nested result files, one row per solution with its position."""
-    df = spark.read.schema(schemas.SOLUTION_RESULTS).option("multiLine", True).json(path)
+def read_solution_results(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Nested result files, one row per solution with its position.
+
+    A multi-line file is one JSON document and is read by one task; ``multi_line=False`` reads the
+    same structure as one document per line, which Spark can split.
+    """
+    df = spark.read.schema(schemas.SOLUTION_RESULTS).option("multiLine", multi_line).json(path)
     problems = df.select("dataset_name", F.explode("generated_solutions").alias("p"))
     rows = problems.select(
         "dataset_name", "p.problem_id", "p.problem_text", "p.ground_truth",

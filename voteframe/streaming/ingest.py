@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -34,13 +36,18 @@ def append_stream(
     )
 
 
+def scored(group: int = 10) -> Callable[[DataFrame], DataFrame]:
+    """Transformation that scores responses and drops their log-probabilities."""
+    return lambda df: score_responses(df, group).drop("logprobs")
+
+
 def stream_ingest_responses(
     spark: SparkSession, folder: str, schema: StructType, out: str, checkpoint: str, group: int = 10,
     kind: str = "json", glob: str | None = None,
 ) -> StreamingQuery:
     """Score arriving responses and append them without their log-probabilities."""
     rows = response_stream(spark, folder, schema, kind, glob)
-    return append_stream(rows, out, checkpoint, lambda df: score_responses(df, group).drop("logprobs"))
+    return append_stream(rows, out, checkpoint, scored(group))
 
 
 def ingest_new(
@@ -50,27 +57,30 @@ def ingest_new(
     """Append only rows whose key the target table does not have yet.
 
     The known keys live in the target table, not in stream state, so state does not grow with the
-    stream. Each batch writes its own ``batch`` partition and replaces it on a retry, so a batch
-    that is run again neither loses nor repeats rows. ``on_batch`` gets (batch, appended, skipped).
+    stream. Each batch writes its own ``batch`` partition (named after the checkpoint and the batch
+    number) and replaces it on a retry, so a batch that is run again neither loses nor repeats rows.
+    ``on_batch`` gets (batch number, appended, skipped).
     """
+    source = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        tag = f"{source}-{batch_id}"
         fresh = batch.dropDuplicates([key])
         try:
             known = spark.read.option("mergeSchema", "false").parquet(out)
-            known = known.where(F.col("batch") != batch_id).select(key)
+            known = known.where(F.col("batch") != tag).select(key)
             fresh = fresh.join(known, key, "left_anti")
-        except Exception as error:  # the first batch has no target yet
-            if "PATH_NOT_FOUND" not in str(error):
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":  # the first batch has no target yet
                 raise
         (
-            fresh.withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
+            fresh.withColumn("batch", F.lit(tag)).write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
         )
         if on_batch:
             received = batch.count()
-            appended = spark.read.parquet(out).where(F.col("batch") == batch_id).count()
+            appended = spark.read.parquet(out).where(F.col("batch") == tag).count()
             on_batch(batch_id, appended, received - appended)
 
     return (
@@ -84,13 +94,24 @@ def dedupe_stateful(rows: DataFrame, key: str = "response_id") -> DataFrame:
     return rows.dropDuplicates([key])
 
 
-def stream_progress(rows: DataFrame, table: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Running number of finished responses per replica in an in-memory result table (one row per
-    replica)."""
+def stream_progress(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Running number of finished responses per replica. Every batch replaces the counts it
+    changes: it writes the full table (one row per replica) as its own ``batch`` partition."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("batch").parquet(out)
+
     counts = rows.groupBy("worker_replica").agg(F.count(F.lit(1)).alias("finished"))
-    writer = counts.writeStream.format("memory").queryName(table).outputMode("complete")
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+    return (
+        counts.writeStream.outputMode("complete").foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
 
 
+def latest_progress(spark: SparkSession, out: str) -> DataFrame:
+    """The counts of the last batch."""
+    df = spark.read.parquet(out)
+    last = df.agg(F.max("batch")).scalar()
+    return df.where(F.col("batch") == last).drop("batch")
