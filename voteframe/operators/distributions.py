@@ -373,9 +373,9 @@ def solution_length_report(
     keep = lengths.where(~F.col("excluded")).select(key)
     rows = df.where(F.col(tokens) <= cap).join(keep, key, "left_semi")
     cells = value_counts(rows, [], tokens)
-    middle = F.floor(F.col("total") / 2)
+    middle = F.floor(F.col("__total") / 2)
     median = cells.where(
-        (F.col("below") <= middle) & (middle < F.col("below") + F.col("n"))
+        (F.col("__below") <= middle) & (middle < F.col("__below") + F.col("__n"))
     ).agg(F.max(tokens))
     problems = lengths.agg(
         F.struct(F.count(F.lit(1)).alias("problems"), F.count_if("excluded").alias("excluded"))

@@ -146,15 +146,15 @@ def ranked(
 def value_counts(
     df: DataFrame, keys: Sequence[str], value: str, hot_rows: int = HOT_ROWS, chunk: str = "auto"
 ) -> DataFrame:
-    """Distinct non-null values per key with ``n`` rows, ``below`` rows under it, ``total`` rows."""
+    """Distinct non-null values per key with ``__n`` rows, ``__below`` rows under it, ``__total`` rows."""
     cells = (
-        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     )
-    placed = running_totals(cells, keys, value, {"below": F.col("n")}, None, hot_rows, chunk)
+    placed = running_totals(cells, keys, value, {"__below": F.col("__n")}, None, hot_rows, chunk)
     if keys:
-        sizes = cells.groupBy(*keys).agg(F.sum("n").alias("total"))
+        sizes = cells.groupBy(*keys).agg(F.sum("__n").alias("__total"))
         return placed.join(sizes, list(keys))
-    return placed.withColumn("total", cells.agg(F.sum("n")).scalar())
+    return placed.withColumn("__total", cells.agg(F.sum("__n")).scalar())
 
 
 def exact_percentiles(
@@ -172,12 +172,12 @@ def exact_percentiles(
     statistics of each fraction are found among the counted distinct values.
     """
     cells = value_counts(df, keys, value, hot_rows, chunk)
-    last = F.col("total") - F.lit(1)
+    last = F.col("__total") - F.lit(1)
     picks, build = [], []
     for i, fraction in enumerate(fractions):
         place = last * F.lit(float(fraction))
         for side, at in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            covers = (F.col("below") <= at) & (at < F.col("below") + F.col("n"))
+            covers = (F.col("__below") <= at) & (at < F.col("__below") + F.col("__n"))
             picks.append(F.max(F.when(covers, F.col(value).cast("double"))).alias(f"__{side}{i}"))
         part = F.col("__place")[i] - F.floor(F.col("__place")[i])
         build.append(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * part)
@@ -192,7 +192,7 @@ def average_ranks(
 ) -> DataFrame:
     """Per distinct value: its average rank minus the mean rank, so ranks are centred on zero."""
     cells = value_counts(df, keys, value, hot_rows, chunk)
-    centred = F.col("below") + (F.col("n") + 1) / F.lit(2.0) - (F.col("total") + 1) / F.lit(2.0)
+    centred = F.col("__below") + (F.col("__n") + 1) / F.lit(2.0) - (F.col("__total") + 1) / F.lit(2.0)
     return cells.select(*keys, value, centred.alias(name))
 
 
