@@ -10,6 +10,7 @@ from voteframe.operators import (
     correlation as co, distributions as di, overlap, selection as sel, within_problem as wp,
 )
 from voteframe.schemas import REPORT_SCORES
+from voteframe.session import cut_lineage
 
 TOKENS = "output_token_count"
 SCORE = "tail_confidence"
@@ -213,7 +214,8 @@ def a12(spark, sf):
     from voteframe.functions.text import post_marker_tokens
 
     df = fx.responses(spark, sf).select(post_marker_tokens(F.col("generated_text")).alias("t"))
-    return rounded(di.positive_statistics(df, "t"))
+    # Counting tokens reads whole texts; the counts are kept and the texts are read once.
+    return rounded(di.positive_statistics(cut_lineage(df, "tokens"), "t"))
 
 
 def ladder_sql(source: str, value: str, ladder) -> str:
@@ -433,7 +435,8 @@ def a21_accuracy(spark, sf):
 
 @query(
     "a21_token_bins",
-    PROFILE + "select cast(least(floor(mean_output_tokens / 1000), 4) as int) as bin, count(*) as count from profile group by 1",
+    PROFILE + "select cast(least(floor(mean_output_tokens / 1000), 4) as int) as bin, count(*) as count, "
+    "cast(least(floor(mean_output_tokens / 1000), 4) * 1000 as int) as low from profile group by 1, 3",
 )
 def a21_tokens(spark, sf):
     return di.profile_token_bins(profile(spark, sf))

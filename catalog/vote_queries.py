@@ -145,7 +145,7 @@ def fixed16_sql(scores: tuple[str, ...]) -> str:
 
 @query("v6_set_vote_fixed16", WITH_R + fixed16_sql(SET_VOTE_SCORES))
 def v6(spark, sf):
-    return rounded(v.set_votes_fixed16(fx.responses(spark, sf), SET_VOTE_SCORES))
+    return rounded(v.set_votes_fixed16(fx.responses(spark, sf), SET_VOTE_SCORES).drop("ground_truth"))
 
 
 @query(

@@ -53,16 +53,16 @@ def spearman(
 ) -> DataFrame:
     """Pearson correlation of average ranks.
 
-    Rows are first counted per distinct (x, y); ranks come from the counted distinct values of each
-    side and are centred, so the coefficient needs only three sums.
+    Rows are first counted per distinct (x, y); ranks come from those counts and are centred, so the
+    coefficient needs only three sums. ``keys`` name few, large groups (a metric, a dataset).
     """
     keys = list(keys)
     if dict(df.dtypes)[y] == "boolean":
         df = df.withColumn(y, F.col(y).cast("int"))
     rows = _pair(df, x, y).where(F.col("__x").isNotNull()).select(*keys, "__x", "__y")
     cells = rows.groupBy(*keys, "__x", "__y").agg(F.count(F.lit(1)).alias("__n"))
-    rx = average_ranks(rows, "__x", keys, "__rx")
-    ry = average_ranks(rows, "__y", keys, "__ry")
+    rx = average_ranks(cells, "__x", keys, "__rx", chunk="always", weight="__n")
+    ry = average_ranks(cells, "__y", keys, "__ry", chunk="always", weight="__n")
     placed = cells.join(rx, [*keys, "__x"]).join(ry, [*keys, "__y"])
     n, a, b = F.col("__n"), F.col("__rx"), F.col("__ry")
     scale = F.sqrt(F.sum(n * a * a)) * F.sqrt(F.sum(n * b * b))

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from voteframe.functions import grading as g
 from voteframe.functions.grading import Grader
 from voteframe.functions.text import token_count
-from voteframe.operators.ordering import HOT_ROWS, hash_row_numbers, row_numbers, sample_key
+from voteframe.operators.ordering import (
+    HOT_ROWS, hash_bucket, hash_row_numbers, row_numbers, running_totals, sample_key,
+)
 from voteframe.operators.prompts import PLAIN_TEMPLATE, set_prompt
 from voteframe.operators.selection import filter_by_token_length
 from voteframe.session import cut_lineage
@@ -205,10 +207,12 @@ def split_by_problem(
     problems = sets.select("set_size", "problem_id").distinct().withColumn(
         "__digest", sample_key("problem_id", seed=seed)
     )
-    placed = hash_row_numbers(problems, ["set_size"], "__digest", "__pos", chunk="always")
-    counts = problems.groupBy("set_size").agg(F.count(F.lit(1)).alias("__n"))
-    train = F.col("__pos") < F.floor(F.col("__n") * F.lit(float(fraction)))
-    marked = placed.join(counts, "set_size").select(
+    placed = running_totals(
+        problems, ["set_size"], "__digest", {"__pos": F.lit(1).cast("bigint")},
+        hash_bucket(F.col("__digest")), chunk="always", totals=True,
+    )
+    train = F.col("__pos") < F.floor(F.col("__pos_total") * F.lit(float(fraction)))
+    marked = placed.select(
         "set_size", "problem_id", F.when(train, "train").otherwise("validation").alias("split")
     )
     return sets.join(marked, ["set_size", "problem_id"])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voteframe.functions.text import lacks_marker
-from voteframe.operators.ordering import bin_index, exact_percentiles
+from voteframe.operators.ordering import bin_index, constant_bin, exact_percentiles
 
 # Percentile lists and bin ladders of the reports. A ladder is chosen by the maximum
 # value: the first whose limit is above it, else the last.
@@ -42,7 +42,7 @@ def present(name: str) -> Column:
 
 def describe(
     df: DataFrame, value: str, fractions: Sequence[float] = (), keys: Sequence[str] = (),
-    sample_std: bool = False,
+    sample_std: bool = False, chunk: str = "auto",
 ) -> DataFrame:
     """n, mean, median, std, min, max and optional percentiles p<percent> of the non-null values.
     Exact; without keys the result is one row."""
@@ -54,7 +54,7 @@ def describe(
         F.min(x).alias("min"), F.max(x).alias("max"),
     )
     wanted = [0.5, *fractions]
-    edges = exact_percentiles(df, value, wanted, keys, "__p")
+    edges = exact_percentiles(df, value, wanted, keys, "__p", chunk=chunk)
     if keys:
         joined = moments.join(edges, keys, "left")
     else:
@@ -74,28 +74,21 @@ def step_bin(value: Column, edges: Sequence[float]) -> Column:
     return chain
 
 
-def ladder_bin(value: Column, top: Column, ladder: Sequence[tuple]) -> Column:
-    """Bin of ``value`` on the ladder that the maximum ``top`` selects."""
-    chain = None
+def pick_ladder(top: float | None, ladder: Sequence[tuple]) -> Sequence[float]:
+    """Edges of the ladder that the maximum ``top`` selects."""
     for limit, edges in ladder:
-        bins = step_bin(value, edges)
-        if limit is None:
-            return bins if chain is None else chain.otherwise(bins)
-        cond = top < F.lit(limit)
-        chain = F.when(cond, bins) if chain is None else chain.when(cond, bins)
-    return chain
+        if limit is None or (top is not None and top < limit):
+            return edges
+    raise ValueError("a ladder ends with an open limit")
 
 
-def ladder_low(top: Column, bins: Column, ladder: Sequence[tuple]) -> Column:
-    """Lower edge of a ladder bin."""
-    chain = None
-    for limit, edges in ladder:
-        low = F.element_at(F.array(*[F.lit(e) for e in edges]), bins + F.lit(1))
-        if limit is None:
-            return low if chain is None else chain.otherwise(low)
-        cond = top < F.lit(limit)
-        chain = F.when(cond, low) if chain is None else chain.when(cond, low)
-    return chain
+def ladder_bins(df: DataFrame, value: str, ladder: Sequence[tuple]) -> DataFrame:
+    """Rows per bin, with its lower edge, on the ladder chosen by the maximum (found by a first
+    job)."""
+    edges = pick_ladder(df.agg(F.max(value)).first()[0], ladder)
+    lows = F.array(*[F.lit(e) for e in edges])
+    counted = binned(df, step_bin(F.col(value), edges))
+    return counted.withColumn("low", F.element_at(lows, F.col("bin") + F.lit(1)))
 
 
 def binned(df: DataFrame, bins: Column, keys: Sequence[str] = (), extra: Sequence[Column] = ()) -> DataFrame:
@@ -112,36 +105,40 @@ def accuracy_by_percentile(
     """Accuracy in the bins between percentiles of ``value``.
 
     Half-open bins lose the maximum; ``closed_last`` keeps it. Empty bins are skipped, or kept with
-    accuracy 0.0 by ``keep_empty``.
+    accuracy 0.0 by ``keep_empty``. Without keys the edges are found by a first job (one row) and
+    are constants of the second; with keys they are joined.
     """
     keys = list(keys)
-    # Null grades are left out by the average, as rows they still shape the percentiles' input.
     rows = df.where(present(value) & F.col(correct).isNotNull())
-    edges = exact_percentiles(rows, value, fractions, keys, "edges")
+    x = F.col(value).cast("double")
+    accuracy = F.avg(F.col(correct).cast("double")).alias("accuracy")
     if keys:
+        edges = exact_percentiles(rows, value, fractions, keys, "edges", chunk="always")
         located = rows.join(edges, keys)
+        filled = binned(located, bin_index(x, F.col("edges"), closed_last), keys, [accuracy])
+        bounds = edges.select(
+            *keys, F.posexplode(F.slice("edges", 1, len(fractions) - 1)).alias("bin", "low"), "edges"
+        ).withColumn("high", F.col("edges")[F.col("bin") + 1]).drop("edges")
     else:
-        located = rows.withColumn("edges", edges.scalar())
-    filled = binned(
-        located, bin_index(F.col(value).cast("double"), F.col("edges"), closed_last), keys,
-        [F.avg(F.col(correct).cast("double")).alias("accuracy")],
-    )
-    bounds = edges.select(
-        *keys, F.posexplode(F.slice("edges", 1, len(fractions) - 1)).alias("bin", "low"), "edges"
-    ).withColumn("high", F.col("edges")[F.col("bin") + 1]).drop("edges")
+        found = fetch_edges(rows, value, fractions)
+        filled = binned(rows, constant_bin(x, found, closed_last), (), [accuracy])
+        bounds = edge_table(df, found)
     out = bounds.join(filled, [*keys, "bin"], "left" if keep_empty else "inner")
     if keep_empty:
         out = out.fillna({"count": 0, "accuracy": 0.0})
     return out
 
 
-def quantile_edges(
-    rows: DataFrame, value: str, bins: int, keys: Sequence[str] = ()
-) -> DataFrame:
-    """Distinct quantile edges of ``bins`` equal shares."""
-    fractions = [i / bins for i in range(bins + 1)]
-    edges = exact_percentiles(rows, value, fractions, keys, "edges")
-    return edges.withColumn("edges", F.array_sort(F.array_distinct("edges")))
+def fetch_edges(rows: DataFrame, value: str, fractions: Sequence[float]) -> list[float]:
+    """Exact percentiles of the whole table as numbers: one job, one row."""
+    found = exact_percentiles(rows, value, fractions).first()["percentiles"]
+    return [] if found is None or found[0] is None else list(found)
+
+
+def edge_table(df: DataFrame, edges: Sequence[float]) -> DataFrame:
+    """One row per bin with its bounds."""
+    bounds = [(i, edges[i], edges[i + 1]) for i in range(len(edges) - 1)]
+    return df.sparkSession.createDataFrame(bounds, "bin int, low double, high double")
 
 
 def accuracy_by_quantile_bins(
@@ -153,20 +150,14 @@ def accuracy_by_quantile_bins(
     for s in scores:
         needed = needed & present(s)
     rows = df.where(needed)
-    edges = quantile_edges(rows, value, bins)
-    located = rows.withColumn("edges", edges.scalar())
-    filled = located.withColumn(
-        "bin", bin_index(F.col(value).cast("double"), F.col("edges"), True)
-    ).where(F.col("bin").isNotNull()).groupBy("bin").agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg(F.col(correct).cast("double")).alias("accuracy"),
-        *[F.avg(s).alias(s) for s in scores],
-    )
-    bound = lambda i: F.element_at(F.col("edges"), (F.col("bin") + F.lit(i)).cast("int")).cast("bigint")
-    labelled = filled.withColumn("edges", edges.scalar()).withColumn(
-        "label", F.concat(bound(1).cast("string"), F.lit("-"), bound(2).cast("string"))
-    )
-    return labelled.drop("edges")
+    edges = sorted(set(fetch_edges(rows, value, [i / bins for i in range(bins + 1)])))
+    # Without two distinct edges there is no bin, and the report is empty.
+    place = constant_bin(F.col(value).cast("double"), edges, True) if len(edges) > 1 else F.lit(None)
+    measures = [F.avg(F.col(correct).cast("double")).alias("accuracy"), *[F.avg(s).alias(s) for s in scores]]
+    filled = binned(rows, place.cast("int"), (), measures)
+    labels = [f"{int(low)}-{int(high)}" for low, high in zip(edges, edges[1:])]
+    named = F.array(*[F.lit(x) for x in labels]) if labels else F.array().cast("array<string>")
+    return filled.withColumn("label", F.element_at(named, F.col("bin") + F.lit(1)))
 
 
 def confidence_by_correctness(df: DataFrame, score: str, correct: str) -> DataFrame:
@@ -185,13 +176,14 @@ def confidence_histogram(
     """Equal-width bins between the minimum and maximum, separately for right and wrong rows: as
     shares of their class, or as raw counts."""
     rows = df.where(present(score) & F.col(correct).isNotNull())
-    span = rows.agg(F.struct(F.min(score).alias("lo"), F.max(score).alias("hi"))).scalar()
+    low, high = rows.agg(F.min(score), F.max(score)).first()
     bins = edges - 1
-    place = F.floor(
-        F.try_divide(F.col(score) - F.col("span.lo"), F.col("span.hi") - F.col("span.lo")) * bins
-    )
-    counted = rows.withColumn("span", span).withColumn(
-        "bin", F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).cast("int")
+    if low is None or high == low:
+        place = F.lit(0)
+    else:
+        place = F.floor((F.col(score) - F.lit(low)) / F.lit(high - low) * bins)
+    counted = rows.withColumn(
+        "bin", F.least(place, F.lit(bins - 1)).cast("int")
     ).groupBy(correct, "bin").agg(F.count(F.lit(1)).alias("count"))
     if not weighted:
         return counted
@@ -228,13 +220,7 @@ def positive_statistics(df: DataFrame, value: str, keys: Sequence[str] = ()) ->
 
 def adaptive_bins(df: DataFrame, value: str, ladder: Sequence[tuple] = CONTENT_LADDER) -> DataFrame:
     """Rows per bin of the ladder chosen by the maximum, over values above zero."""
-    rows = df.where(F.col(value) > 0)
-    top = rows.agg(F.max(value)).scalar()
-    located = rows.withColumn("__top", top)
-    counted = binned(located, ladder_bin(F.col(value), F.col("__top"), ladder))
-    return counted.withColumn(
-        "low", ladder_low(rows.agg(F.max(value)).scalar(), F.col("bin"), ladder)
-    )
+    return ladder_bins(df.where(F.col(value) > 0), value, ladder)
 
 
 def prompt_token_summary(
@@ -243,7 +229,7 @@ def prompt_token_summary(
     """Per split and over all: samples, and statistics of the values above zero."""
     both = df.select(value, F.explode(F.array(F.col(split), F.lit("all"))).alias("dataset"))
     samples = both.groupBy("dataset").agg(F.count(F.lit(1)).alias("samples"))
-    stats = describe(both.where(F.col(value) > 0), value, (0.95, 0.99), ["dataset"]).drop("n")
+    stats = describe(both.where(F.col(value) > 0), value, (0.95, 0.99), ["dataset"], chunk="always").drop("n")
     return samples.join(stats, "dataset", "left")
 
 
@@ -259,7 +245,7 @@ def problem_profile(
         F.count_if(F.col("__total") == F.col("__top")).alias("at_max"),
         F.count_if(lacks_marker(F.col("generated_text"))).alias("no_marker"),
         (F.avg(F.col(correct).cast("double")) * 100).alias("accuracy_pct"),
-        F.length(F.min_by("problem_text", "response_idx")).alias("prompt_length"),
+        F.min_by(F.length("problem_text"), "response_idx").alias("prompt_length"),
         F.avg("output_token_count").alias("mean_output_tokens"),
     )
 
@@ -274,7 +260,7 @@ def problem_profile_summary(profile: DataFrame) -> DataFrame:
     long = profile.select(
         *[F.col(m).cast("double").alias(m) for m in PROFILE_MEASURES]
     ).unpivot([], list(PROFILE_MEASURES), "measure", "value")
-    return describe(long, "value", PROFILE_PERCENTILES, ["measure"])
+    return describe(long, "value", PROFILE_PERCENTILES, ["measure"], chunk="always")
 
 
 def profile_count_histogram(profile: DataFrame, measure: str) -> DataFrame:
@@ -292,9 +278,7 @@ def profile_accuracy_bins(profile: DataFrame) -> DataFrame:
 
 def profile_token_bins(profile: DataFrame) -> DataFrame:
     """Problems per bin of mean output tokens on the ladder chosen by the maximum."""
-    top = profile.agg(F.max("mean_output_tokens")).scalar()
-    located = profile.withColumn("__top", top)
-    return binned(located, ladder_bin(F.col("mean_output_tokens"), F.col("__top"), PROFILE_LADDER))
+    return ladder_bins(profile, "mean_output_tokens", PROFILE_LADDER)
 
 
 def flag_truncated(
@@ -335,7 +319,7 @@ def token_and_accuracy_stats(
         F.col(tokens), F.col(correct),
         F.explode(F.array_compact(F.array(F.lit("all"), kept))).alias("part"),
     )
-    stats = describe(both, tokens, PROFILE_PERCENTILES, ["part"])
+    stats = describe(both, tokens, PROFILE_PERCENTILES, ["part"], chunk="always")
     grades = both.groupBy("part").agg(
         F.avg(F.col(correct).cast("double")).alias("accuracy"),
         F.count_if(correct).alias("correct"), F.count(F.lit(1)).alias("total"),
@@ -373,7 +357,7 @@ def solution_length_report(
     keep = lengths.where(~F.col("excluded")).select(key)
     rows = df.where(F.col(tokens) <= cap).join(keep, key, "left_semi")
     cells = value_counts(rows, [], tokens)
-    middle = F.floor(F.col("__total") / 2)
+    middle = F.floor(F.col("__below_total") / 2)
     median = cells.where(
         (F.col("__below") <= middle) & (middle < F.col("__below") + F.col("__n"))
     ).agg(F.max(tokens))

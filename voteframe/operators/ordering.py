@@ -61,8 +61,10 @@ def running_totals(
     bucket: Column | None = None,
     hot_rows: int = HOT_ROWS,
     chunk: str = "auto",
+    totals: bool = False,
 ) -> DataFrame:
-    """Add, per key, the sum of each measure over all rows that come before the row.
+    """Add, per key, the sum of each measure over all rows that come before the row, and with
+    ``totals`` its sum over the whole key as ``<name>_total``.
 
     ``order`` must be unique within a key. Without keys the whole table is one ordered group.
     """
@@ -74,9 +76,11 @@ def running_totals(
         hot = oversized(df, keys, hot_rows)
         if hot is None:
             w = before(*keys).orderBy(order)
-            return df.withColumns(
-                {n: F.coalesce(F.sum(c).over(w), zero) for n, c in measures.items()}
-            )
+            added = {n: F.coalesce(F.sum(c).over(w), zero) for n, c in measures.items()}
+            if totals:
+                whole = Window.partitionBy(*keys)
+                added |= {f"{n}_total": F.sum(c).over(whole) for n, c in measures.items()}
+            return df.withColumns(added)
         flagged = df.join(hot.withColumn("__hot", F.lit(True)), keys, "left")
         place = F.when(F.col("__hot"), bucket).otherwise(F.lit(0).cast("bigint"))
     else:
@@ -84,18 +88,19 @@ def running_totals(
     names = {name: f"__m{i}" for i, name in enumerate(measures)}
     cut = flagged.withColumns({names[n]: c for n, c in measures.items()} | {"__chunk": place})
     # One row per chunk: at most a few hundred thousand per group, however large the group is.
-    totals = cut.groupBy(*keys, "__chunk").agg(*[F.sum(c).alias(c) for c in names.values()])
-    ahead = before(*keys).orderBy("__chunk")
-    offsets = totals.select(
+    sums = cut.groupBy(*keys, "__chunk").agg(*[F.sum(c).alias(c) for c in names.values()])
+    ahead, whole = before(*keys).orderBy("__chunk"), Window.partitionBy(*keys)
+    offsets = sums.select(
         *keys, "__chunk",
         *[F.coalesce(F.sum(c).over(ahead), zero).alias(f"{c}_off") for c in names.values()],
+        *[F.sum(c).over(whole).alias(f"{n}_total") for n, c in names.items() if totals],
     )
     local = before(*keys, "__chunk").orderBy(order)
     joined = cut.join(offsets, [*keys, "__chunk"])
     for name, c in names.items():
         inside = F.coalesce(F.sum(c).over(local), zero)
         joined = joined.withColumn(name, F.col(f"{c}_off") + inside)
-    return joined.select(*df.columns, *names)
+    return joined.select(*df.columns, *names, *[f"{n}_total" for n in names if totals])
 
 
 def row_numbers(
@@ -144,17 +149,15 @@ def ranked(
 
 
 def value_counts(
-    df: DataFrame, keys: Sequence[str], value: str, hot_rows: int = HOT_ROWS, chunk: str = "auto"
+    df: DataFrame, keys: Sequence[str], value: str, hot_rows: int = HOT_ROWS, chunk: str = "auto",
+    weight: str | None = None,
 ) -> DataFrame:
-    """Distinct non-null values per key with ``__n`` rows, ``__below`` rows under it, ``__total`` rows."""
-    cells = (
-        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    )
-    placed = running_totals(cells, keys, value, {"__below": F.col("__n")}, None, hot_rows, chunk)
-    if keys:
-        sizes = cells.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-        return placed.join(sizes, list(keys))
-    return placed.withColumn("__total", cells.agg(F.sum("__n")).scalar())
+    """Distinct non-null values per key: ``__n`` rows, ``__below`` rows under it, ``__below_total``
+    rows of the key. ``weight`` names a column of counts if the input is already counted."""
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    cells = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(rows.alias("__n"))
+    below = {"__below": F.col("__n")}
+    return running_totals(cells, keys, value, below, None, hot_rows, chunk, totals=True)
 
 
 def exact_percentiles(
@@ -172,7 +175,7 @@ def exact_percentiles(
     statistics of each fraction are found among the counted distinct values.
     """
     cells = value_counts(df, keys, value, hot_rows, chunk)
-    last = F.col("__total") - F.lit(1)
+    last = F.col("__below_total") - F.lit(1)
     picks, build = [], []
     for i, fraction in enumerate(fractions):
         place = last * F.lit(float(fraction))
@@ -188,12 +191,25 @@ def exact_percentiles(
 
 def average_ranks(
     df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "rank",
-    hot_rows: int = HOT_ROWS, chunk: str = "auto",
+    hot_rows: int = HOT_ROWS, chunk: str = "auto", weight: str | None = None,
 ) -> DataFrame:
     """Per distinct value: its average rank minus the mean rank, so ranks are centred on zero."""
-    cells = value_counts(df, keys, value, hot_rows, chunk)
-    centred = F.col("__below") + (F.col("__n") + 1) / F.lit(2.0) - (F.col("__total") + 1) / F.lit(2.0)
-    return cells.select(*keys, value, centred.alias(name))
+    cells = value_counts(df, keys, value, hot_rows, chunk, weight)
+    middle = F.col("__below") + (F.col("__n") + 1) / F.lit(2.0)
+    return cells.select(
+        *keys, value, (middle - (F.col("__below_total") + 1) / F.lit(2.0)).alias(name)
+    )
+
+
+def constant_bin(value: Column, edges: Sequence[float], closed_last: bool) -> Column:
+    """Zero-based bin of ``value`` among constant edges; null outside. Bins are ``[low, high)``;
+    with ``closed_last`` the last one also takes the maximum. A chain of comparisons, compiled."""
+    last = len(edges) - 2
+    top = (value == F.lit(edges[-1])) if closed_last else F.lit(False)
+    chain = F.when(top, F.lit(last)).when(value >= F.lit(edges[-1]), F.lit(None).cast("int"))
+    for i in range(last, -1, -1):
+        chain = chain.when(value >= F.lit(edges[i]), F.lit(i))
+    return chain
 
 
 def bin_index(value: Column, edges: Column, closed_last: bool) -> Column:

@@ -47,27 +47,23 @@ def problem_votes(
 ) -> DataFrame:
     """Per problem: majority answer and one weighted answer per score, each graded.
 
-    Blank answers do not vote; a problem with blanks only gets '' and is wrong.
+    Blank answers do not vote; a problem with blanks only gets '' and is wrong. The truth belongs to
+    the problem, so it is part of the grouping.
     """
     scores = PROBLEM_VOTE_SCORES if scores is None else scores
+    keys = [*keys, "ground_truth"]
     text = strip(F.col("final_answer"))
     counted = tally(
-        df, keys, F.when(text != "", text),
-        {n: clean_score(c) for n, c in scores.items()},
-        [F.min_by("ground_truth", "response_idx").alias("truth")],
+        df, keys, F.when(text != "", text), {n: clean_score(c) for n, c in scores.items()}
     )
     voted = F.col("answer").isNotNull()
+    strengths = {"majority_answer": F.col("votes")}
+    strengths |= {f"weighted_answer_{n}": F.col(f"weight_{n}") for n in scores}
     votes = counted.groupBy(*keys).agg(
-        F.min_by("truth", "first_idx").alias("ground_truth"),
-        F.coalesce(winner(F.col("answer"), F.col("votes"), voted), F.lit("")).alias(
-            "majority_answer"
-        ),
         *[
-            F.coalesce(winner(F.col("answer"), F.col(f"weight_{n}"), voted), F.lit("")).alias(
-                f"weighted_answer_{n}"
-            )
-            for n in scores
-        ],
+            F.coalesce(winner(F.col("answer"), s, voted), F.lit("")).alias(n)
+            for n, s in strengths.items()
+        ]
     )
     truth = F.col("ground_truth")
     flags = {
@@ -101,7 +97,10 @@ def attach_votes(
 ) -> DataFrame:
     """Put the per-problem vote flags on every response; unknown problems are wrong."""
     flags = [c for c in votes.columns if c.startswith("is_correct_")]
-    joined = df.join(votes.select(*keys, *flags), list(keys), "left")
+    match = {k: f"__{k}" for k in (*keys, "ground_truth")}
+    marks = votes.select(*[F.col(k).alias(m) for k, m in match.items()], *flags)
+    on = [F.col(k).eqNullSafe(F.col(m)) for k, m in match.items()]
+    joined = df.join(marks, on, "left").drop(*match.values())
     return joined.withColumns({f: F.coalesce(F.col(f), F.lit(False)) for f in flags})
 
 
@@ -161,22 +160,21 @@ def set_votes_fixed16(
         F.explode(F.array(*[F.lit(s) for s in (2, 4, 8, 16)])).alias("set_size"),
     ).withColumn("set_no", F.floor(F.col("response_idx") / F.col("set_size")))
     answer = F.coalesce(F.col("final_answer"), F.lit(""))
+    keys = [*keys, "ground_truth"]
+    truth = F.col("ground_truth")
     cells = tally(
-        spread, [*keys, "set_size", "set_no"], answer, {s: clean_score(s) for s in scores},
-        [F.min_by("ground_truth", "response_idx").alias("truth")],
-    ).withColumn("right", F.coalesce(grader(F.col("answer"), F.col("truth")), F.lit(False)))
+        spread, [*keys, "set_size", "set_no"], answer, {s: clean_score(s) for s in scores}
+    ).withColumn("right", F.coalesce(grader(F.col("answer"), truth), F.lit(False)))
     methods = {"majority_voting": F.col("votes"), **{s: F.col(f"weight_{s}") for s in scores}}
     sets = cells.groupBy(*keys, "set_size", "set_no").agg(
-        F.min("truth").alias("truth"),
         *[winner(F.col("right"), w, F.lit(True)).alias(m) for m, w in methods.items()],
     )
     # A set without rows answers ''; that is only right where the truth is blank.
     missing = F.lit(16) / F.col("set_size") - F.col("seen")
-    blank_truth = F.coalesce(grader(F.lit(""), F.col("truth")), F.lit(False))
+    blank_truth = F.coalesce(grader(F.lit(""), truth), F.lit(False))
     filled = F.when(blank_truth, missing.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     per_problem = sets.groupBy(*keys, "set_size").agg(
-        F.count(F.lit(1)).alias("seen"), F.min("truth").alias("truth"),
-        *[F.count_if(m).alias(m) for m in methods],
+        F.count(F.lit(1)).alias("seen"), *[F.count_if(m).alias(m) for m in methods],
     ).withColumns({m: F.col(m) + filled for m in methods})
     long = per_problem.withColumn(
         "total_sets", (F.lit(16) / F.col("set_size")).cast("bigint")

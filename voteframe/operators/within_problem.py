@@ -1,7 +1,8 @@
 """Analyses that compare the responses of a problem with each other.
 
 Every report starts from counts per (problem, value), joined with per-problem aggregates; no window
-holds a whole problem.
+holds a whole oversized problem. Reports that pass over their rows several times first write the few
+columns they need to the shared folder.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from voteframe.operators.correlation import pearson, spearman
 from voteframe.operators.distributions import QUARTILES, accuracy_by_percentile, present
 from voteframe.operators.ordering import HOT_ROWS, exact_percentiles, ranked
+from voteframe.session import cut_lineage
 
 # Starting percents of the slices.
 SLICES = (0, 10, 20, 30, 40, 50, 60, 70, 80, 90, 100)
@@ -74,7 +76,7 @@ def within_problem_median_split(
     df: DataFrame, value: str, correct: str, key: str = "problem_id", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Per problem the accuracy at or above, and below, its median; then means over problems."""
-    rows = comparable(df, [value, correct], key)
+    rows = cut_lineage(comparable(df, [value, correct], key).select(key, value, correct), "rows")
     cells = rows.groupBy(key, value).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(correct).cast("bigint")).alias("right")
     )
@@ -100,7 +102,9 @@ def within_problem_deciles(
     Slice 0 takes at least one row, slices 10 to 90 span ``[int(n p), int(n (p + 10)))`` and are
     skipped if empty, slice 100 starts at ``int(0.9 n)``. Slices overlap only at 90 and 100.
     """
-    rows = comparable(df, [value, correct], key).select(key, order, value, correct)
+    rows = cut_lineage(
+        comparable(df, [value, correct], key).select(key, order, value, correct), "rows"
+    )
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
     placed = ranked(rows, [key], value, order, "__pos", hot_rows).join(sizes, key)
     n, pos = F.col("__n"), F.col("__pos")
