@@ -33,6 +33,21 @@ def order_bucket(value: Column) -> Column:
     return F.when(x == 0, F.lit(0)).when(x > 0, size).otherwise(-size).cast("bigint")
 
 
+def text_bucket(text: Column) -> Column:
+    """Monotone bucket of a string: its first three bytes. Texts that share a long prefix share a
+    bucket; a numeric order column or a digest spreads better."""
+    head = F.hex(F.substring(F.encode(text, "UTF-8"), 1, 3))
+    return F.conv(F.rpad(head, 6, "0"), 16, 10).cast("bigint")
+
+
+def default_bucket(df: DataFrame, order: str) -> Column:
+    """The bucket that fits the type of the order column."""
+    kind = dict(df.dtypes)[order]
+    if kind == "string":
+        return text_bucket(F.col(order))
+    return order_bucket(F.unix_date(order) if kind == "date" else F.col(order))
+
+
 def hash_bucket(digest: Column) -> Column:
     """Monotone bucket of a hexadecimal digest: its first four digits."""
     return F.conv(F.substring(digest, 1, 4), 16, 10).cast("bigint")
@@ -69,7 +84,7 @@ def running_totals(
     ``order`` must be unique within a key. Without keys the whole table is one ordered group.
     """
     keys = list(keys)
-    bucket = order_bucket(F.col(order)) if bucket is None else bucket
+    bucket = default_bucket(df, order) if bucket is None else bucket
     before = lambda *part: Window.partitionBy(*part).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)
     if keys and chunk == "auto":
