@@ -8,6 +8,7 @@ from catalog import fixtures as fx
 from catalog.registry import WITH_R, query, r6, rounded
 from voteframe.functions import grading as g, text as t
 from voteframe.operators import grading as og
+from voteframe.session import cut_lineage
 
 def TEXT():
     return F.col("generated_text")
@@ -248,10 +249,14 @@ def g5(spark, sf):
 )
 def g5_list(spark, sf):
     content = F.coalesce(t.content_for_row(TEXT()), F.lit(""))
+    # As a stored table: array lambdas are not compiled and would derive the text again and again.
+    df = cut_lineage(
+        fx.responses(spark, sf).select("event_id", "ground_truth", content.alias("content")), "contents"
+    )
     truth = F.col("ground_truth")
-    paired = g.reward_list(F.array(content, F.lit("\\boxed{k}")), F.array(truth, F.lit("K")))
+    paired = g.reward_list(F.array("content", F.lit("\\boxed{k}")), F.array(truth, F.lit("K")))
     unpaired = g.reward_list(F.array(F.lit("\\boxed{click}")), F.array(truth, F.lit("K")))
-    return fx.responses(spark, sf).select(
+    return df.select(
         "event_id", paired[0].alias("first_reward"), paired[1].alias("second_reward"),
         unpaired[0].alias("unpaired_reward"),
     )

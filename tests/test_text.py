@@ -1,5 +1,7 @@
 """Text extraction and grading on hand-made cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +108,27 @@ def test_graders(spark):
     ]
     assert [e for e, _ in got] == [w for *_, w in pairs]
     assert [x for _, x in got] == [w and bool(a) for a, _, w in pairs]
+
+
+def boxed(text):
+    """Character-by-character reading of the last box, as the specification words it."""
+    text = text.strip()
+    start = text.rfind("\\boxed{")
+    if start < 0:
+        return ""
+    start += len("\\boxed{")
+    depth, i = 1, start
+    while i < len(text) and depth:
+        if text[i] in "{}" and text[i - 1] != "\\":
+            depth += 1 if text[i] == "{" else -1
+        i += 1
+    return text[start:i - 1].strip() if depth == 0 else ""
+
+
+def test_final_answer_on_random_markup(spark):
+    rng = random.Random(4)
+    parts = ["{", "}", "\\", "{", "}", "a", " ", "\\{", "\\}", "\\\\", "x" * 90, "\\boxed{", "\n"]
+    texts = ["\\boxed{" + "".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    texts += ["\\boxed{" + "{" * n + "x" + "}" * m for n in range(8) for m in range(10)]
+    texts += ["\\boxed{" + "{a}" * 3000 + "}", "\\boxed{" + "{a}" * 3000, "\\boxed{" + "y" * 5000 + "}"]
+    assert evaluate(spark, t.final_answer, texts) == [boxed(x) for x in texts]

@@ -35,20 +35,17 @@ def clean_number_text(text: Column) -> Column:
 
 def numeric_value(text: Column) -> Column:
     """The value of a plain number or a simple fraction; null for anything else."""
-
-    def parse(t: Column) -> Column:
-        num = F.regexp_extract(t, FRACTION_PATTERN, 2).try_cast("double")
-        den = F.regexp_extract(t, FRACTION_PATTERN, 3).try_cast("double")
-        sign = F.when(F.regexp_extract(t, FRACTION_PATTERN, 1) == "-", F.lit(-1.0)).otherwise(1.0)
-        top = F.regexp_extract(t, SLASH_PATTERN, 1).try_cast("double")
-        bottom = F.regexp_extract(t, SLASH_PATTERN, 2).try_cast("double")
-        return (
-            F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double"))
-            .when(t.rlike(FRACTION_PATTERN), sign * F.try_divide(num, den))
-            .when(t.rlike(SLASH_PATTERN), F.try_divide(top, bottom))
-        )
-
-    return let(clean_number_text(text), parse)
+    t = clean_number_text(text)
+    num = F.regexp_extract(t, FRACTION_PATTERN, 2).try_cast("double")
+    den = F.regexp_extract(t, FRACTION_PATTERN, 3).try_cast("double")
+    sign = F.when(F.regexp_extract(t, FRACTION_PATTERN, 1) == "-", F.lit(-1.0)).otherwise(1.0)
+    top = F.regexp_extract(t, SLASH_PATTERN, 1).try_cast("double")
+    bottom = F.regexp_extract(t, SLASH_PATTERN, 2).try_cast("double")
+    return (
+        F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double"))
+        .when(t.rlike(FRACTION_PATTERN), sign * F.try_divide(num, den))
+        .when(t.rlike(SLASH_PATTERN), F.try_divide(top, bottom))
+    )
 
 
 def equivalent(answer: Column, truth: Column) -> Column:
@@ -78,8 +75,8 @@ def reward_list(contents: Column, truths: Column, grader: Grader = equivalent) -
     def one(content: Column, i: Column) -> Column:
         pos = F.when(paired, i + F.lit(1)).otherwise(F.lit(1))
         truth = F.try_element_at(truths, pos.cast("int"))
-        right = F.coalesce(grader(final_answer(content), truth), F.lit(False))
-        return right.cast("double")
+        right = let(final_answer(content), lambda answer: grader(answer, truth))
+        return F.coalesce(right, F.lit(False)).cast("double")
 
     return F.transform(contents, one)
 

@@ -150,9 +150,12 @@ def ranked(
 ) -> DataFrame:
     """Zero-based position ordered by ``value`` and then by ``tie`` (unique within key and value).
 
-    Equal values may be as many as a third of the table, so they are counted first and numbered
-    among themselves separately.
+    With an oversized key, equal values may be as many as a third of the table, so values are
+    counted first and equal ones are numbered among themselves separately.
     """
+    if oversized(df, keys, hot_rows) is None:
+        w = Window.partitionBy(*keys).orderBy(value, tie)
+        return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
     cells = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     placed = running_totals(cells, keys, value, {"__below": F.col("__n")}, hot_rows=hot_rows)
     inside = row_numbers(df, [*keys, value], tie, "__inside", hot_rows=hot_rows)
@@ -183,13 +186,15 @@ def exact_percentiles(
     name: str = "percentiles",
     hot_rows: int = HOT_ROWS,
     chunk: str = "auto",
+    weight: str | None = None,
 ) -> DataFrame:
     """Array of linearly interpolated percentiles per key (one row in all without keys).
 
     Exact, and without holding a group's values in one buffer: the two neighbouring order
-    statistics of each fraction are found among the counted distinct values.
+    statistics of each fraction are found among the counted distinct values. ``weight`` names a
+    column of counts if the input is already counted.
     """
-    cells = value_counts(df, keys, value, hot_rows, chunk)
+    cells = value_counts(df, keys, value, hot_rows, chunk, weight)
     last = F.col("__below_total") - F.lit(1)
     picks, build = [], []
     for i, fraction in enumerate(fractions):

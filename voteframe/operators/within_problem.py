@@ -76,11 +76,13 @@ def within_problem_median_split(
     df: DataFrame, value: str, correct: str, key: str = "problem_id", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Per problem the accuracy at or above, and below, its median; then means over problems."""
-    rows = cut_lineage(comparable(df, [value, correct], key).select(key, value, correct), "rows")
-    cells = rows.groupBy(key, value).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(correct).cast("bigint")).alias("right")
+    cells = cut_lineage(
+        comparable(df, [value, correct], key).groupBy(key, value).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.col(correct).cast("bigint")).alias("right")
+        ),
+        "cells",
     )
-    median = exact_percentiles(rows, value, [0.5], [key], "p", hot_rows)
+    median = exact_percentiles(cells, value, [0.5], [key], "p", hot_rows, weight="n")
     high = F.col(value) >= F.col("p")[0]
     share = lambda cond: F.try_divide(F.sum(F.when(cond, F.col("right"))), F.sum(F.when(cond, F.col("n"))))
     per_problem = cells.join(median, key).groupBy(key).agg(
