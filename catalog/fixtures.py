@@ -1,15 +1,21 @@
 """Inputs derived from the given tables.
 
 Each derived table is a chain of projections whose expressions are valid in Spark SQL and in DuckDB
-alike, so both engines see the same rows. All projections are row-local: deriving an input shuffles
-nothing and grows with its table.
+alike, so both engines see the same rows. All projections are row-local: deriving an input grows
+with its table and needs no grouping. As response tables are stored in practice, a derived table is
+written once per session to the shared folder and scanned from there by every query.
 
 ``responses``: 60 consecutive events make five problems of 1, 2, 5, 16 and 36 responses.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
+
+from voteframe.session import new_folder, spread
 
 BOX = "concat(chr(92), 'boxed{')"
 FRAC = "concat(chr(92), 'frac{')"
@@ -122,8 +128,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_stored: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def stored(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]
+) -> DataFrame:
+    """The derived table ``name``, written on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        df, path = build(), new_folder(spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        _stored[key] = (path, df.schema)
+    path, schema = _stored[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return project(table(spark, sf_dir, "events"), RESPONSES)
+    """Derived responses, without the columns that only the SQL twins need."""
+
+    def build() -> DataFrame:
+        df = project(spread(table(spark, sf_dir, "events"), "event_id"), RESPONSES)
+        return df.drop("ts", "props", *[c for c in df.columns if c.startswith("expected_")])
+
+    return stored(spark, sf_dir, "responses", build)
 
 
 RESPONSES_SQL = render("events", RESPONSES)
@@ -173,8 +201,13 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with quality labels: skewed lengths as score, word count as tokens."""
     from voteframe.functions.text import word_count
 
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    return project(docs, QUALITY_LAYERS).withColumn("words", word_count(F.col("text")))
+
+    def build() -> DataFrame:
+        docs = spread(table(spark, sf_dir, "documents"), "doc_id").withColumn("words", word_count(F.col("text")))
+        joined = docs.join(table(spark, sf_dir, "labels"), "doc_id")
+        return project(joined.drop("text"), QUALITY_LAYERS)
+
+    return stored(spark, sf_dir, "quality", build)
 
 
 WORDS_SQL = "len(list_filter(string_split_regex({0}, '[\\s\\x0b]+'), lambda w: w <> ''))"

@@ -119,6 +119,9 @@ def set_votes(
         *keys, "response_idx", "final_answer", correct, *scores,
         F.explode(F.array(*[F.lit(s) for s in sizes])).alias("set_size"),
     ).withColumn("set_no", F.floor(F.col("response_idx") / F.col("set_size")))
+    # A set has at most ``max(sizes)`` rows, so counting before the shuffle would save nothing; one
+    # shuffle by set serves both the counting of answers and the choice of the winner.
+    spread = spread.repartition(*keys, "set_size", "set_no")
     answer = F.when(F.col("final_answer") != "", F.col("final_answer"))
     cells = tally(
         spread, [*keys, "set_size", "set_no"], answer,
@@ -159,8 +162,9 @@ def set_votes_fixed16(
         *keys, "response_idx", "final_answer", "ground_truth", *scores,
         F.explode(F.array(*[F.lit(s) for s in (2, 4, 8, 16)])).alias("set_size"),
     ).withColumn("set_no", F.floor(F.col("response_idx") / F.col("set_size")))
-    answer = F.coalesce(F.col("final_answer"), F.lit(""))
     keys = [*keys, "ground_truth"]
+    spread = spread.repartition(*keys, "set_size", "set_no")
+    answer = F.coalesce(F.col("final_answer"), F.lit(""))
     truth = F.col("ground_truth")
     cells = tally(
         spread, [*keys, "set_size", "set_no"], answer, {s: clean_score(s) for s in scores}

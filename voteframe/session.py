@@ -51,3 +51,11 @@ def cut_lineage(df: DataFrame, label: str = "table") -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Redistribute by ``key`` if the input has fewer splits than the session has cores; large
+    inputs keep their own splits and are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.select(key).rdd.getNumPartitions()
+    return df if splits >= cores else df.repartition(cores, key)
