@@ -209,7 +209,7 @@ def split_by_problem(
     )
     placed = running_totals(
         problems, ["set_size"], "__digest", {"__pos": F.lit(1).cast("bigint")},
-        hash_bucket(F.col("__digest")), chunk="always", totals=True,
+        hash_bucket(problems, "__digest"), chunk="always", totals=True,
     )
     train = F.col("__pos") < F.floor(F.col("__pos_total") * F.lit(float(fraction)))
     marked = placed.select(

@@ -19,17 +19,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 HOT_ROWS = 1_000_000
-BUCKETS_PER_EFOLD = 8192
-_SHIFT = 6_200_000  # above 745 * BUCKETS_PER_EFOLD, the logarithm range of doubles
+FINEST = 8192  # buckets per factor of e on a large cluster
+_LOG_RANGE = 760  # logarithms of doubles lie within -745 and 710
 
 
-def order_bucket(value: Column) -> Column:
-    """Monotone integer bucket of a number: 8192 buckets per factor of e, on both sides of zero."""
+def resolution(spark: SparkSession) -> int:
+    """Buckets per factor of e: a few times the number of shuffle partitions."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(64, min(FINEST, 4 * partitions))
+
+
+def order_bucket(value: Column, per_efold: int = FINEST) -> Column:
+    """Monotone integer bucket of a number: ``per_efold`` buckets per factor of e, on both sides of
+    zero."""
     x = value.cast("double")
-    size = F.floor(F.least(F.ln(F.abs(x)), F.lit(710.0)) * BUCKETS_PER_EFOLD) + F.lit(_SHIFT)
+    log = F.least(F.ln(F.abs(x)), F.lit(710.0))
+    size = F.floor(log * per_efold) + F.lit(_LOG_RANGE * per_efold)
     return F.when(x == 0, F.lit(0)).when(x > 0, size).otherwise(-size).cast("bigint")
 
 
@@ -45,12 +53,15 @@ def default_bucket(df: DataFrame, order: str) -> Column:
     kind = dict(df.dtypes)[order]
     if kind == "string":
         return text_bucket(F.col(order))
-    return order_bucket(F.unix_date(order) if kind == "date" else F.col(order))
+    number = F.unix_date(order) if kind == "date" else F.col(order)
+    return order_bucket(number, resolution(df.sparkSession))
 
 
-def hash_bucket(digest: Column) -> Column:
-    """Monotone bucket of a hexadecimal digest: its first four digits."""
-    return F.conv(F.substring(digest, 1, 4), 16, 10).cast("bigint")
+def hash_bucket(df: DataFrame, digest: str) -> Column:
+    """Monotone bucket of a hexadecimal digest: its first two to four digits."""
+    buckets = resolution(df.sparkSession)
+    digits = 2 if buckets <= 256 else 3 if buckets <= 4096 else 4
+    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("bigint")
 
 
 def sample_key(*parts: Column | str, seed: int = 42) -> Column:
@@ -137,7 +148,7 @@ def hash_row_numbers(
     chunk: str = "auto",
 ) -> DataFrame:
     """Zero-based position in digest order."""
-    return row_numbers(df, keys, digest, name, hash_bucket(F.col(digest)), hot_rows, chunk)
+    return row_numbers(df, keys, digest, name, hash_bucket(df, digest), hot_rows, chunk)
 
 
 def ranked(
