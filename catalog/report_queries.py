@@ -112,7 +112,15 @@ def a5(spark, sf):
     return rounded(di.accuracy_by_percentile(fx.quality(spark, sf), "score", "is_correct", di.CLOSED_PERCENTILES, True))
 
 
-@query("a5_accuracy_by_percentile_all_scores")
+def _all_scores_sql() -> str:
+    values = ", ".join(
+        f"v{i} as (select {s} as v, is_correct as ok from r where {s} is not null)" for i, s in enumerate(REPORT_SCORES)
+    )
+    parts = [f"select '{s}' as metric, z.* from ({bins_sql(s, f'v{i}', di.CLOSED_PERCENTILES, True)}) z" for i, s in enumerate(REPORT_SCORES)]
+    return WITH_R + f", {values} " + " union all ".join(parts)
+
+
+@query("a5_accuracy_by_percentile_all_scores", _all_scores_sql())
 def a5_scores(spark, sf):
     long = fx.responses(spark, sf).select(
         "is_correct", F.inline(F.array(*[F.struct(F.lit(s).alias("metric"), F.col(s).alias("value")) for s in REPORT_SCORES]))
