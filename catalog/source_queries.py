@@ -401,10 +401,11 @@ def p11(spark, sf):
     return kept.select("event_id", "token_count")
 
 
-# Streams read the given events file itself, so that their work grows with it.
+# Streams read the given events table itself (one file or a folder of them), so that their work
+# grows with it.
 def event_stream(spark, sf):
     schema = fx.table(spark, sf, "events").schema
-    return fx.project(ingest.response_stream(spark, sf, schema, "parquet", "events.parquet"), fx.RESPONSES)
+    return fx.project(ingest.response_stream(spark, f"{sf}/events.parquet*", schema, "parquet"), fx.RESPONSES)
 
 
 @query(
