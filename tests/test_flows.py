@@ -10,6 +10,7 @@ from voteframe.operators import voting as v
 from voteframe.plans.analysis import merge_and_report, recalculate_file
 from voteframe.plans.curation import curate_to
 from voteframe.plans.evaluation import evaluate_files
+from voteframe.session import spread
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -69,3 +70,10 @@ def test_evaluate_files(spark, tmp_path):
     assert got[("tuned", "majority_voting", 2)] == 0.5
     assert got[("tuned", "tail_confidence", 4)] == 1.0
     assert overall.count() == len(got)
+
+
+def test_spread_only_small_inputs(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(100, numPartitions=1), "id").rdd.getNumPartitions() == cores
+    wide = spark.range(100, numPartitions=cores + 3)
+    assert spread(wide, "id") is wide
