@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voteframe.llm import fingerprints, langid, packing, quality, toxicity
+from voteframe.llm import fingerprints, langid, linededup, mixing, packing, quality, toxicity
 from voteframe.llm.common import key_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,36 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, profiles).select("doc_id", held_out, "lang_pred", "score")
 
 
+#: Shares of tokens that the mixing query and the pipeline ask for, by language.
+TARGETS = {"en": 0.55, "de": 0.17, "fr": 0.16, "es": 0.12}
+
+
+def labelled_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The labelled rows' ids with their language as the domain."""
+    rows = table(spark, sf_dir, "labels").select("doc_id")
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(rows, "doc_id", "left_semi")
+
+
+@query("op5_mixing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed, domains = mixing.mix(docs, labelled_domains(spark, docs, sf_dir), TARGETS)
+    shares = [(F.col("__parts")[i] / mixing.PARTS).alias(f"p_{d}") for i, d in enumerate(domains)]
+    return mixed.select(
+        "doc_id", F.col("__tokens").alias("tokens"), *shares, F.round("__rate", 6).alias("rate"), F.col("__copies").alias("copies")
+    )
+
+
+@query("op6_line_dedup", linededup.LINE_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = linededup.dedup_lines(docs)
+    return out.select(
+        "doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__dropped").cast("long").alias("n_dropped"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
 @query("op7_quality")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
