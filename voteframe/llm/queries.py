@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voteframe.llm import fingerprints, langid, linededup, mixing, packing, quality, toxicity
+from voteframe.llm import fingerprints, langid, linededup, mixing, neardup, packing, quality, toxicity
 from voteframe.llm.common import key_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query("op1_jaccard_join")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 @query("op2_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
