@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voteframe.llm import fingerprints, langid, linededup, mixing, neardup, packing, quality, toxicity
+from voteframe.llm import fingerprints, langid, linededup, mixing, neardup, packing, quality, substrings, toxicity
 from voteframe.llm.common import key_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +89,24 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_fingerprints")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+#: The windows of every document, and whether a smaller document has the same one.
+REPEAT_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+starts as (select doc_id, words, unnest(range(1, len(words) - 48)) as i from w),
+win as (select doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) as h from starts),
+least as (select h, min(doc_id) as low from win group by h),
+hit as (select doc_id, list(i order by i) as places from win join least using (h) where doc_id > low group by doc_id),
+gone as (select doc_id, list(distinct p) as p from (select doc_id, unnest(range(s, s + 50)) as p from (select doc_id, unnest(places) as s from hit)) group by doc_id),
+kept as (select w.doc_id, len(words) as n_words, coalesce(len(p), 0) as n_removed,
+    case when p is null then words else list_transform(list_filter(range(1, len(words) + 1), lambda j: not list_contains(p, j)), lambda j: words[j]) end as k
+  from w left join gone on w.doc_id = gone.doc_id)
+select doc_id, n_words::bigint as n_words, n_removed::bigint as n_removed, sha256(array_to_string(k, ' ')) as kept_sha256 from kept
+"""
+
+
+@query("op10_substring_dedup", REPEAT_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
