@@ -5,10 +5,11 @@ Each stage calls one operator of ``voteframe.llm`` on all that its predecessor k
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voteframe.llm import packing, toxicity
+from voteframe.llm import linededup, mixing, neardup, packing, toxicity
 from voteframe.llm.common import key_crc, table
+from voteframe.llm.queries import TARGETS, labelled_domains
 from voteframe.session import cut_lineage
 
 
@@ -20,12 +21,35 @@ def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return scored.where(f"__toxic_score < {toxicity.THRESHOLD}").select(docs.columns)
 
 
+def fewer_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines of recurring templates; of each template one line stays."""
+    return linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return neardup.keep_one(docs).select(docs.columns)
+
+
+def mixed_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its rate says, which may be not at all or several times."""
+    mixed, _ = mixing.mix(docs, labelled_domains(spark, docs, sf_dir), TARGETS)
+    copies = F.explode(F.sequence(F.lit(1), F.col("__copies")))
+    return mixed.where("__copies > 0").withColumn("__copy", copies).select(docs.columns)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents in sequences of 1024 tokens."""
     return packing.pack(docs)
 
 
-STAGES = [("toxicity", clean_language), ("packing", pack_sequences)]
+STAGES = [
+    ("toxicity", clean_language),
+    ("line_dedup", fewer_lines),
+    ("jaccard_join", one_of_each_group),
+    ("mixing", mixed_domains),
+    ("packing", pack_sequences),
+]
 
 #: The classifiers, signatures and tokens of the stages have no SQL form; tests compare with
 #: brute-force versions.

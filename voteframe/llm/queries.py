@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voteframe.llm import fingerprints, langid, linededup, mixing, neardup, packing, quality, substrings, toxicity
+from voteframe.llm import fingerprints, langid, linededup, mixing, neardup, packing, pii, quality, substrings, toxicity
 from voteframe.llm.common import key_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), trusted)
 
 
+@query("op8_surrogates")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.surrogates(table(spark, sf_dir, "documents"))
+    kinds = [F.coalesce(F.col("kinds")[k], F.lit(0)).alias(f"n_{k}") for k in pii.PATTERNS]
+    return out.select("doc_id", "n_entities", *kinds, "text")
+
+
 @query("op9_fingerprints")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))

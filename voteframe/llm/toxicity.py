@@ -21,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from voteframe.llm.common import SAMPLE_ROWS, map_arrow, slices, smallest_hashes
 
@@ -264,7 +265,8 @@ def score(
     alike; a null id stays null; an empty table gives no rows. Map-only.
     """
     if keep_columns:
-        position, schema = docs.columns.index(text_col), docs.schema.add("__toxic_score", "double")
+        position = docs.columns.index(text_col)
+        schema = StructType([*docs.schema, StructField("__toxic_score", DoubleType())])
     else:
         key = dict(docs.dtypes)[id_col]
         docs = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
