@@ -13,6 +13,7 @@ the score.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,10 +25,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from voteframe.llm.common import SAMPLE_ROWS, map_arrow, slices, smallest_hashes
+from voteframe.llm.neardup import SHINGLE, shingles
+from voteframe.llm.words import Words
+from voteframe.session import cut_lineage
 
 STEM_CHARS = (4, 12)
 LEXICON = 400
 FUZZY_CHARS = 5
+#: Stems of which one may be all toxic by chance: sets the least number of documents of a stem.
+CANDIDATES = 10_000
 CONTEXT = 6
 THRESHOLD = 0.3
 #: Signs and words that mark the context of a hit.
@@ -143,6 +149,23 @@ def features(text: str | None, lexicon: Lexicon, context: int = CONTEXT) -> list
     return [exact, misspelt, quoted, addressed, 100.0 * (exact + misspelt) / len(words)]
 
 
+def one_of_copies(labelled: DataFrame) -> DataFrame:
+    """``text, label`` of the sample without most near copies, whose rare words would look frequent:
+    of texts of one label that share the smallest shingle hash, the one of the smallest id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            hashes, doc, _ = shingles(Words(batch.column(0)), SHINGLE)
+            least = np.zeros(batch.num_rows, np.uint64)
+            if len(doc):
+                heads = np.flatnonzero(np.diff(doc, prepend=-1))
+                least[doc[heads]] = np.minimum.reduceat(hashes, heads)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least.view(np.int64))], ["text", "label", "__id", "sketch"])
+
+    sketched = map_arrow(labelled, run, "text string, label int, __id long, sketch long")
+    return sketched.groupBy("sketch", "label").agg(F.min_by("text", "__id").alias("text")).select("text", "label")
+
+
 def stem_counts(labelled: DataFrame) -> DataFrame:
     """``stem, toxic, clean``: labelled documents that hold a word beginning with the stem."""
     low, high = STEM_CHARS
@@ -165,9 +188,11 @@ def stem_counts(labelled: DataFrame) -> DataFrame:
 
 
 def choose_stems(counts: DataFrame, toxic: int, clean: int, size: int) -> list[str]:
-    """Stems in at least 0.3 % of toxic documents and at most a hundredth as often in others: of a
-    stem and its beginnings the longest that loses no more than a twentieth of the documents."""
-    least = max(3, toxic * 3 // 1000)
+    """Stems in at least 0.3 % of toxic documents, too many to be by chance, and at most a hundredth
+    as often in others: of a stem and its beginnings the longest that loses no more than a twentieth
+    of the documents."""
+    chance = math.log(CANDIDATES / 0.05) / math.log((toxic + clean + 1) / (toxic + 0.5))
+    least = max(math.ceil(chance), toxic * 3 // 1000)
     good = counts.where((F.col("toxic") >= least) & (F.col("clean") * max(toxic, 1) * 100 <= F.col("toxic") * max(clean, 1)))
     rows = good.orderBy(F.desc("toxic"), "stem").limit(size * 20).collect()  # bounded by the lexicon's size
     support = {r.stem: r.toxic for r in rows}
@@ -229,8 +254,8 @@ def learn(
     halves = [smallest_hashes(usable.where(F.col("label") == v), "__id", sample_rows // 2) for v in (0, 1)]
     sample = F.broadcast(halves[0].unionByName(halves[1]))  # at most sample_rows ids and labels
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    labelled = rows.join(sample, rows[id_col] == F.col("__id")).select("text", "label")
-    # One Arrow pass over the sampled texts; they are read again for the weights.
+    labelled = rows.join(sample, rows[id_col] == F.col("__id")).select("text", "label", F.col("__id").cast("long"))
+    labelled = cut_lineage(one_of_copies(labelled), "labelled")
     numbers = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
     if not numbers.get(1):
         return Model([], None)
