@@ -25,7 +25,7 @@ def sliding_means(values: np.ndarray, group: int, short: str = "spread") -> np.n
 
     With fewer values than ``group``: ``spread`` gives ``group - n + 1`` equal values
     ``sum / group`` (what a 'valid' convolution yields once it swaps its operands), ``mean`` gives
-    the plain mean once. A NaN only affects the windows that contain it.
+    the plain mean once. A NaN or an infinity only affects the windows that contain it.
     """
     n = len(values)
     if n == 0:
@@ -34,12 +34,16 @@ def sliding_means(values: np.ndarray, group: int, short: str = "spread") -> np.n
         if short == "mean":
             return np.array([values.mean()])
         return np.full(group - n + 1, values.sum() / group)
-    bad = np.isnan(values)
+    bad = ~np.isfinite(values)
     sums = np.concatenate(([0.0], np.cumsum(np.where(bad, 0.0, values))))
     out = (sums[group:] - sums[:-group]) / group
     if bad.any():
-        holes = np.concatenate(([0], np.cumsum(bad)))
-        out[holes[group:] > holes[:-group]] = np.nan
+        held = []
+        for marks in (np.isnan(values), values == np.inf, values == -np.inf):
+            count = np.concatenate(([0], np.cumsum(marks)))
+            held.append(count[group:] > count[:-group])
+        out[held[1]], out[held[2]] = np.inf, -np.inf
+        out[held[0] | (held[1] & held[2])] = np.nan
     return out
 
 

@@ -14,6 +14,7 @@ Grader = Callable[[Column, Column], Column]
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 FRACTION_PATTERN = r"^([+-]?)\\[dt]?frac\{([+-]?\d+\.?\d*)\}\{([+-]?\d+\.?\d*)\}$"
 SLASH_PATTERN = r"^([+-]?\d+\.?\d*)/(\d+\.?\d*)$"
+INTEGER_PATTERN = r"^[+-]?\d+$"
 TOLERANCE = 1e-9
 
 
@@ -28,9 +29,10 @@ def is_correct_exact(answer: Column, truth: Column) -> Column:
 
 
 def clean_number_text(text: Column) -> Column:
-    r"""Drop currency signs, thousands separators, ``\text{}`` wrappers and spaces."""
+    r"""Drop currency signs, thousands separators, ``\text{}`` wrappers, and spaces that do not stand
+    between two digits."""
     plain = F.regexp_replace(strip(text), r"\\text\{([^}]*)\}", "$1")
-    return F.regexp_replace(plain, r"\\?\$|\\[,!;]|(?<=\d),(?=\d{3})|\s", "")
+    return F.regexp_replace(plain, r"\\?\$|\\[,!;]|(?<=\d),(?=\d{3})|(?<!\d)\s+|\s+(?!\d)", "")
 
 
 def numeric_value(text: Column) -> Column:
@@ -48,11 +50,21 @@ def numeric_value(text: Column) -> Column:
     )
 
 
+def integer_text(text: Column) -> Column:
+    """An integer of any length without plus sign and leading zeros; null for anything else."""
+    t = clean_number_text(text)
+    digits = F.regexp_replace(F.regexp_replace(t, r"^[+-]", ""), r"^0+(?=\d)", "")
+    signed = F.when(t.startswith("-") & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
+    return F.when(t.rlike(INTEGER_PATTERN), signed)
+
+
 def equivalent(answer: Column, truth: Column) -> Column:
-    """Equal as text, or equal as numbers within a relative tolerance. No guard for empty answers."""
+    """Equal as text, as integers digit by digit, or as other numbers within a relative tolerance.
+    No guard for empty answers."""
     a, b = numeric_value(answer), numeric_value(truth)
     close = F.abs(a - b) <= F.lit(TOLERANCE) * F.greatest(F.lit(1.0), F.abs(b))
-    return same_text(answer, truth) | F.coalesce(close, F.lit(False))
+    equal = F.coalesce(integer_text(answer) == integer_text(truth), close)
+    return same_text(answer, truth) | F.coalesce(equal, F.lit(False))
 
 
 def is_correct_equivalent(answer: Column, truth: Column, grader: Grader = equivalent) -> Column:

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from math import lgamma
+from math import erfc, lgamma
 from pyspark.sql import Column, functions as F
 
 _log_gamma = np.vectorize(lgamma, otypes=[float])
+_erfc = np.vectorize(erfc, otypes=[float])
+NORMAL_FROM = 1e7  # degrees of freedom from which Student's t is taken as normal (error below 1/df)
 
 
-def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Regularised incomplete beta by its continued fraction (modified Lentz iteration)."""
+def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray, rounds: int = 20_000) -> np.ndarray:
+    """Regularised incomplete beta by its continued fraction (modified Lentz iteration); an error
+    where it does not converge."""
     a, b, x = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (a, b, x)))
     swap = x > (a + 1.0) / (a + b + 2.0)
     p, q, z = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1.0 - x, x)
@@ -37,6 +40,8 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray, rounds: int = 3
             total = total * d * c
         if np.all(np.abs(d * c - 1.0) < 1e-15):
             break
+    else:
+        raise ArithmeticError("the incomplete beta function did not converge")
     value = np.where(z <= 0, 0.0, np.where(z >= 1, 1.0, front * total))
     return np.where(swap, 1.0 - value, value)
 
@@ -47,7 +52,13 @@ def correlation_p(r: np.ndarray, n: np.ndarray) -> np.ndarray:
     ok = ~np.isnan(r) & (n > 2)
     df = np.where(ok, n - 2.0, 1.0)
     rr = np.where(ok, np.clip(r, -1.0, 1.0), 0.0)
-    p = incomplete_beta(df / 2.0, np.full_like(df, 0.5), 1.0 - rr * rr)
+    large = df >= NORMAL_FROM
+    few = np.where(large, 1.0, df)
+    p = incomplete_beta(few / 2.0, np.full_like(few, 0.5), 1.0 - rr * rr)
+    if large.any():
+        with np.errstate(divide="ignore"):
+            t = np.abs(rr) * np.sqrt(df / (1.0 - rr * rr))
+        p = np.where(large, _erfc(t / np.sqrt(2.0)), p)
     return np.where(ok, p, np.nan)
 
 

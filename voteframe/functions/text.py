@@ -181,8 +181,7 @@ def final_answer_fallbacks(content: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of whitespace-separated words; 0 for null or blank."""
-    words = F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
-    return F.coalesce(F.size(words), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(r"(?U)[^\s\x1c-\x1f]++")), F.lit(0))
 
 
 def token_count(

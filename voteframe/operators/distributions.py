@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voteframe.functions.text import lacks_marker
-from voteframe.operators.ordering import bin_index, constant_bin, exact_percentiles
+from voteframe.operators.ordering import bin_index, constant_bin, exact_percentiles, null_safe_join
 
 # Percentile lists and bin ladders of the reports. A ladder is chosen by the maximum
 # value: the first whose limit is above it, else the last.
@@ -230,7 +230,7 @@ def prompt_token_summary(
     both = df.select(value, F.explode(F.array(F.col(split), F.lit("all"))).alias("dataset"))
     samples = both.groupBy("dataset").agg(F.count(F.lit(1)).alias("samples"))
     stats = describe(both.where(F.col(value) > 0), value, (0.95, 0.99), ["dataset"], chunk="always").drop("n")
-    return samples.join(stats, "dataset", "left")
+    return null_safe_join(samples, stats, ["dataset"], "left")
 
 
 def problem_profile(

@@ -9,6 +9,9 @@ group is cut into chunks by a monotone, row-local function of its order column,
 The chunk of a row depends on nothing but its own value (no sampling, no sketches), so a recomputed
 task always agrees with the first attempt.
 
+A null key is a group like any other, and a null order value comes first, on both paths: joins on
+keys and chunks are null-safe, so what a group's size decides is the plan and never the rows.
+
 ``chunk='auto'`` first runs one small job that counts rows per key (combined on the map side). If no
 key exceeds ``hot_rows`` the plan is a plain window; otherwise the oversized keys are chunked.
 ``chunk='always'`` skips the check where groups are known to be few and large, for example one
@@ -70,6 +73,13 @@ def sample_key(*parts: Column | str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", *[c.cast("string") for c in cols], F.lit(str(seed))))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which null equals null; the keys of the left side stay."""
+    names = {k: f"__right_{k}" for k in keys}
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return left.join(right.withColumnsRenamed(names), on, how).drop(*names.values())
+
+
 def oversized(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
     """Keys with more than ``hot_rows`` rows, or None if there are none (runs one counting job)."""
     hot = (
@@ -107,7 +117,7 @@ def running_totals(
                 whole = Window.partitionBy(*keys)
                 added |= {f"{n}_total": F.sum(c).over(whole) for n, c in measures.items()}
             return df.withColumns(added)
-        flagged = df.join(hot.withColumn("__hot", F.lit(True)), keys, "left")
+        flagged = null_safe_join(df, hot.withColumn("__hot", F.lit(True)), keys, "left")
         place = F.when(F.col("__hot"), bucket).otherwise(F.lit(0).cast("bigint"))
     else:
         flagged, place = df, bucket
@@ -122,7 +132,7 @@ def running_totals(
         *[F.sum(c).over(whole).alias(f"{n}_total") for n, c in names.items() if totals],
     )
     local = before(*keys, "__chunk").orderBy(order)
-    joined = cut.join(offsets, [*keys, "__chunk"])
+    joined = null_safe_join(cut, offsets, [*keys, "__chunk"])
     for name, c in names.items():
         inside = F.coalesce(F.sum(c).over(local), zero)
         joined = joined.withColumn(name, F.col(f"{c}_off") + inside)
@@ -171,7 +181,7 @@ def ranked(
     placed = running_totals(cells, keys, value, {"__below": F.col("__n")}, hot_rows=hot_rows)
     inside = row_numbers(df, [*keys, value], tie, "__inside", hot_rows=hot_rows)
     return (
-        inside.join(placed.drop("__n"), [*keys, value])
+        null_safe_join(inside, placed.drop("__n"), [*keys, value])
         .withColumn(name, F.col("__below") + F.col("__inside"))
         .select(*df.columns, name)
     )

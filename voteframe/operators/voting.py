@@ -207,7 +207,7 @@ def softmax_sample(
 ) -> DataFrame:
     """Per problem: one response drawn with probability softmax(score / temperature); at
     temperature 0 or below the highest score. The draw is a hash of the problem and the seed."""
-    from voteframe.operators.ordering import running_totals, sample_key
+    from voteframe.operators.ordering import null_safe_join, running_totals, sample_key
 
     scored = df.where(F.col(score).isNotNull()).select(key, order, text, score)
     if temperature <= 0:
@@ -216,14 +216,14 @@ def softmax_sample(
             F.max_by(order, rank).alias(order), F.max_by(text, rank).alias(text)
         )
     peak = scored.groupBy(key).agg(F.max(score).alias("__peak"))
-    weighed = scored.join(peak, key).withColumn(
+    weighed = null_safe_join(scored, peak, [key]).withColumn(
         "__w", F.exp((F.col(score) - F.col("__peak")) / F.lit(float(temperature)))
     )
     mass = weighed.groupBy(key).agg(F.sum("__w").alias("__mass"))
     draw = F.conv(F.substring(sample_key(key, seed=seed), 1, 13), 16, 10).cast("double") / F.lit(
         float(16**13)
     )
-    placed = running_totals(weighed, [key], order, {"__before": F.col("__w")}).join(mass, key)
+    placed = null_safe_join(running_totals(weighed, [key], order, {"__before": F.col("__w")}), mass, [key])
     # The last response catches a draw that rounding puts above every running sum.
     hit = F.col("__before") + F.col("__w") > draw * F.col("__mass")
     chosen = F.when(hit, F.col(order))

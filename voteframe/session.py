@@ -28,13 +28,16 @@ def build_session(app: str = "voteframe", master: str | None = None, **conf: str
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where it is unset, a local session gets a
+    temporary one; on a cluster, where executors do not share local folders, that is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="voteframe-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
