@@ -53,6 +53,19 @@ def key_crc(key: Column | str) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
 
 
+def key_hash(key: str) -> Column:
+    return F.xxhash64(F.col(key).cast("string"))
+
+
+def among_smallest(key: str, rows: Column, limit: int) -> Column:
+    """Whether a key's hash is so small that about four times ``limit`` of ``rows`` keys have one.
+    It holds for all keys of a small table; of a large one it leaves little to sort, and hashes are
+    so even that the smallest ``limit`` are among them."""
+    return (key_hash(key).cast("double") / F.lit(2.0**64) + 0.5) * rows <= F.lit(4.0 * limit)
+
+
 def smallest_hashes(rows: DataFrame, key: str, limit: int) -> DataFrame:
-    """The ``limit`` rows with the smallest key hash: a repeatable sample of bounded size."""
-    return rows.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(limit)
+    """The ``limit`` rows with the smallest key hash: a repeatable sample of bounded size. Runs a
+    count, so that no more than a few times ``limit`` rows are sorted."""
+    few = rows.where(among_smallest(key, F.lit(float(rows.count())), limit))
+    return few.orderBy(key_hash(key), key).limit(limit)

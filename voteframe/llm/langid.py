@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voteframe.llm.common import map_arrow, slices
+from voteframe.llm.common import among_smallest, key_hash, map_arrow, slices
 
 PROFILE = 400
 PER_LANGUAGE = 2_000
@@ -99,9 +99,9 @@ def learn_profiles(
     labelled = docs.where(use & F.col(lang_col).isNotNull())
     slim = labelled.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"))
     common = slim.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(languages)
-    order = Window.partitionBy("__lang").orderBy(F.xxhash64(F.col("__id").cast("string")), "__id")
+    order = Window.partitionBy("__lang").orderBy(key_hash("__id"), "__id")
     picked = (
-        slim.join(F.broadcast(common.select("__lang")), "__lang")
+        slim.join(F.broadcast(common), "__lang").where(among_smallest("__id", F.col("count"), per_language))
         .withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_language)
         .select("__id").distinct()
     )
