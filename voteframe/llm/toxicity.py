@@ -188,11 +188,11 @@ def stem_counts(labelled: DataFrame) -> DataFrame:
 
 
 def choose_stems(counts: DataFrame, toxic: int, clean: int, size: int) -> list[str]:
-    """Stems in at least 0.3 % of toxic documents, too many to be by chance, and at most a hundredth
-    as often in others: of a stem and its beginnings the longest that loses no more than a twentieth
+    """Stems in at least 0.3 % of toxic documents, too many to be by chance (or a quarter of them,
+    where there are few), three at least, and at most a hundredth as often in others: of a stem and its beginnings the longest that loses no more than a twentieth
     of the documents."""
     chance = math.log(CANDIDATES / 0.05) / math.log((toxic + clean + 1) / (toxic + 0.5))
-    least = max(math.ceil(chance), toxic * 3 // 1000)
+    least = max(3, min(math.ceil(chance), toxic // 4), toxic * 3 // 1000)
     good = counts.where((F.col("toxic") >= least) & (F.col("clean") * max(toxic, 1) * 100 <= F.col("toxic") * max(clean, 1)))
     rows = good.orderBy(F.desc("toxic"), "stem").limit(size * 20).collect()  # bounded by the lexicon's size
     support = {r.stem: r.toxic for r in rows}
