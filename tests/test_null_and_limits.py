@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from voteframe.functions import grading, probability
 from voteframe.functions.confidence import sliding_means
 from voteframe.functions.text import word_count
-from voteframe.operators import ordering as o, prompts, voting
+from voteframe.operators import ordering as o, passk, prompts, voting
 from voteframe.operators.curation import group_solutions  # noqa: F401
 from voteframe.operators.distributions import prompt_token_summary
 from voteframe.session import work_dir
@@ -106,3 +106,22 @@ def test_a_cluster_needs_a_shared_folder():
     context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(ValueError):
         work_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=context))
+
+
+GAPS = [(p, i, a, "a", 1.0, a == "a", float(a == "a")) for p in (None, "p") for i, a in enumerate("abbaabab")]
+VOTES = "problem_id string, response_idx long, final_answer string, ground_truth string, s double, is_correct boolean, reward double"
+
+
+@pytest.mark.parametrize("call", [
+    lambda d: voting.set_votes(d, [2, 3, 4], ["s"]),
+    lambda d: voting.set_votes_fixed16(d, ["s"]),
+    passk.pass_at_k,
+    passk.pass_at_k_fixed,
+    lambda d: passk.group_advantages(d, 3).drop("response_idx"),
+    lambda d: passk.group_statistics(d, 3),
+])
+def test_gaps_in_positions_do_not_matter(spark, call):
+    dense = spark.createDataFrame(GAPS, VOTES)
+    holed = dense.withColumn("response_idx", 5 + F.col("response_idx") * 3 + F.when(F.col("response_idx") > 4, 40).otherwise(0))
+    rows = [sorted(map(repr, call(d).collect())) for d in (dense, holed)]
+    assert rows[0] and rows[0] == rows[1]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voteframe.functions import grading as g
 from voteframe.functions.grading import Grader
+from voteframe.operators.ordering import row_numbers, with_positions
 
 # The evaluated k and set sizes.
 EVERY_UP_TO = 16
@@ -28,10 +29,12 @@ def candidate_sizes(smallest: int = 1) -> list[int]:
 def first_correct(
     df: DataFrame, keys: Sequence[str] = ("problem_id",), correct: str = "is_correct"
 ) -> DataFrame:
-    """Per problem: responses and position of the first right one; enough for every pass@k."""
-    return df.groupBy(*keys).agg(
+    """Per problem: responses and position of the first right one among those the problem has, in
+    order of ``response_idx``; enough for every pass@k."""
+    slim = with_positions(df.select(*keys, "response_idx", correct), keys, "response_idx", "__pos")
+    return slim.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.min(F.when(F.col(correct), F.col("response_idx"))).alias("first_correct"),
+        F.min(F.when(F.col(correct), F.col("__pos"))).alias("first_correct"),
     )
 
 
@@ -115,9 +118,11 @@ def group_advantages(
     df: DataFrame, size: int, reward: str = "reward", keys: Sequence[str] = ("problem_id",),
     order: str = "response_idx",
 ) -> DataFrame:
-    """(reward - mean) / (population std + 1e-8) within consecutive groups; the last partial group
-    is kept. Groups hold at most ``size`` rows, so the window is bounded."""
-    grouped = df.withColumn("group_no", F.floor(F.col(order) / size))
+    """(reward - mean) / (population std + 1e-8) within consecutive groups of the responses a problem
+    has, in order of ``order``; the last partial group is kept. Groups hold at most ``size`` rows, so
+    the window is bounded."""
+    numbered = row_numbers(df, keys, order, "__pos")
+    grouped = numbered.withColumn("group_no", F.floor(F.col("__pos") / size)).drop("__pos")
     w = Window.partitionBy(*keys, "group_no")
     spread = F.stddev_pop(reward).over(w) + F.lit(1e-8)
     return grouped.withColumn("advantage", (F.col(reward) - F.avg(reward).over(w)) / spread)
@@ -127,8 +132,10 @@ def group_statistics(
     df: DataFrame, size: int, reward: str = "reward", keys: Sequence[str] = ("problem_id",),
     order: str = "response_idx",
 ) -> DataFrame:
-    """Mean and population std of each full group, with the overall ones over all rows."""
-    groups = df.withColumn("group_no", F.floor(F.col(order) / size)).groupBy(*keys, "group_no").agg(
+    """Mean and population std of each full group of consecutive responses, in order of ``order``
+    whatever its gaps, with the overall ones over all rows."""
+    numbered = with_positions(df.select(*keys, order, reward), keys, order, "__pos")
+    groups = numbered.withColumn("group_no", F.floor(F.col("__pos") / size)).groupBy(*keys, "group_no").agg(
         F.count(F.lit(1)).alias("rows"), F.avg(reward).alias("group_mean"),
         F.stddev_pop(reward).alias("group_std"),
     ).where(F.col("rows") == size).drop("rows")

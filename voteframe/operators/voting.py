@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voteframe.functions import grading as g
 from voteframe.functions.grading import Grader
 from voteframe.functions.text import strip
+from voteframe.operators.ordering import row_numbers
 from voteframe.schemas import PROBLEM_VOTE_SCORES
 
 
@@ -110,18 +111,18 @@ def set_votes(
 ) -> DataFrame:
     """Voting over consecutive sets of each size, in long form.
 
-    A problem of n responses has floor(n / size) sets; a set in which nobody answered is wrong but
+    Sets are cut from the responses a problem has, in order of ``response_idx``; gaps in it do not
+    matter. A problem of n responses has floor(n / size) sets; a set in which nobody answered is wrong but
     counted. Empty answers do not vote and answers are compared as they are. ``correct`` grades the
     row's own answer. Output: keys, method, set_size, correct_count, total_sets, accuracy.
     """
     keys = list(keys)
-    spread = df.select(
-        *keys, "response_idx", "final_answer", correct, *scores,
-        F.explode(F.array(*[F.lit(s) for s in sizes])).alias("set_size"),
-    ).withColumn("set_no", F.floor(F.col("response_idx") / F.col("set_size")))
-    # A set has at most ``max(sizes)`` rows, so counting before the shuffle would save nothing; one
-    # shuffle by set serves both the counting of answers and the choice of the winner.
-    spread = spread.repartition(*keys, "set_size", "set_no")
+    # Numbering shuffles each response once, by problem; the copies for the sizes are made behind
+    # that shuffle and counted where they are.
+    slim = df.select(*keys, "response_idx", "final_answer", correct, *scores)
+    spread = row_numbers(slim, keys, "response_idx", "__pos").withColumn(
+        "set_size", F.explode(F.array(*[F.lit(s) for s in sizes]))
+    ).withColumn("set_no", F.floor(F.col("__pos") / F.col("set_size")))
     answer = F.when(F.col("final_answer") != "", F.col("final_answer"))
     cells = tally(
         spread, [*keys, "set_size", "set_no"], answer,
@@ -155,15 +156,17 @@ def set_votes_fixed16(
 ) -> DataFrame:
     """Voting over exactly 16/size sets of the first 16 responses for sizes 2, 4, 8, 16.
 
+    The first 16 are those a problem has, in order of ``response_idx``, whatever gaps there are.
     Empty answers vote too, a set without rows yields '', and the denominators never change.
     """
     keys = list(keys)
-    spread = df.where(F.col("response_idx") < 16).select(
-        *keys, "response_idx", "final_answer", "ground_truth", *scores,
-        F.explode(F.array(*[F.lit(s) for s in (2, 4, 8, 16)])).alias("set_size"),
-    ).withColumn("set_no", F.floor(F.col("response_idx") / F.col("set_size")))
+    slim = df.select(*keys, "response_idx", "final_answer", "ground_truth", *scores)
+    # Spark applies this limit before the shuffle as well.
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("response_idx"))
+    spread = slim.withColumn("__number", number).where(F.col("__number") <= 16).withColumn(
+        "set_size", F.explode(F.array(*[F.lit(s) for s in (2, 4, 8, 16)]))
+    ).withColumn("set_no", F.floor((F.col("__number") - 1) / F.col("set_size")))
     keys = [*keys, "ground_truth"]
-    spread = spread.repartition(*keys, "set_size", "set_no")
     answer = F.coalesce(F.col("final_answer"), F.lit(""))
     truth = F.col("ground_truth")
     cells = tally(
