@@ -145,7 +145,7 @@ def s6(spark, sf):
     )
     lines = nested.select(
         F.col("dataset").alias("dataset_name"), F.lit(1).cast("bigint").alias("total_problems"),
-        F.array(F.struct("problem_id", "problem_text", "ground_truth", solutions.alias("solutions"))).alias("generated_solutions"),
+        F.array(F.struct("problem_id", "problem_text", "ground_truth", "start", solutions.alias("solutions"))).alias("generated_solutions"),
     )
     writers.write_table(lines, path, "json")
     out = readers.read_solution_results(spark, path, multi_line=False)
@@ -369,13 +369,13 @@ def p7(spark, sf):
 
 @query(
     "p8_nest_by_problem",
-    WITH_R + "select problem_id, cast(count(*) as int) as responses, string_agg(final_answer, '|' order by response_idx) as answers "
-    "from r group by 1",
+    WITH_R + "select problem_id, cast(response_idx // 4096 * 4096 as bigint) as start, cast(count(*) as int) as responses, "
+    "string_agg(final_answer, '|' order by response_idx) as answers from r group by 1, 2",
 )
 def p8(spark, sf):
     nested = sel.nest_by_problem(fx.responses(spark, sf), ["response_id", "final_answer"])
     answers = F.array_join(F.transform("solutions", lambda s: s["final_answer"]), "|")
-    return nested.select("problem_id", F.size("solutions").alias("responses"), answers.alias("answers"))
+    return nested.select("problem_id", "start", F.size("solutions").alias("responses"), answers.alias("answers"))
 
 
 @query("p10_cap_prompt_length", WITH_R + "select event_id from r where prompt_token_count <= 53")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
-from catalog.registry import WITH_R, query, rounded
+from catalog.registry import ORACLES, WITH_R, query, rounded
 from voteframe.functions import grading as g
 from voteframe.operators import grading as og, methods as om, passk as pk, voting as v
 from voteframe.schemas import SET_VOTE_SCORES
@@ -179,13 +179,12 @@ def v9(spark, sf):
     from voteframe.operators.selection import nest_by_problem
 
     df = fx.responses(spark, sf)
-    # No k is above 10, so the first block of a problem decides.
-    nested = nest_by_problem(df, ["final_answer", "ground_truth"]).where("block = 0")
+    nested = nest_by_problem(df, ["final_answer", "ground_truth"])
     lists = nested.select(
-        F.transform("solutions", lambda s: s["final_answer"]).alias("predictions"),
+        "problem_id", "start", F.transform("solutions", lambda s: s["final_answer"]).alias("predictions"),
         F.col("solutions")[0]["ground_truth"].alias("ground_truth"),
     )
-    return rounded(pk.pass_at_k_list(lists))
+    return rounded(pk.pass_at_k_list(lists, start="start"))
 
 
 @query(
@@ -412,3 +411,31 @@ def v21(spark, sf):
 )
 def v22(spark, sf):
     return rounded(pk.end_to_end_accuracy(results(spark, sf), ["aggregator"]))
+
+
+# The same metrics over the responses that gave an answer, whose positions have gaps. The twin counts
+# the rows before: DuckDB loses the ``- 1`` of ``row_number() - 1`` under a filter ``< 16``.
+WITH_ANSWERED = (
+    f"with whole as ({fx.RESPONSES_SQL}), r as (select * exclude (response_idx), count(*) over (partition by problem_id "
+    "order by response_idx rows between unbounded preceding and 1 preceding) as response_idx from whole where final_answer <> '') "
+)
+ON_ANSWERED = {
+    "v4_set_majority_vote": lambda df: v.set_votes(df, [2, 4, 8]).drop("method"),
+    "v5_set_weighted_vote": lambda df: v.set_votes(df, [2, 4, 8], SET_VOTE_SCORES),
+    "v6_set_vote_fixed16": lambda df: v.set_votes_fixed16(df, SET_VOTE_SCORES).drop("ground_truth"),
+    "v7_pass_at_k": pk.pass_at_k,
+    "v8_pass_at_k_fixed": pk.pass_at_k_fixed,
+    "v11_evaluate_metrics": lambda df: pk.evaluate_metrics(df, SET_VOTE_SCORES),
+    "v18_group_advantages": lambda df: pk.group_advantages(df, 5).select("event_id", "advantage"),
+    "v19_group_statistics": lambda df: pk.group_statistics(df, 8),
+}
+
+
+def answered(spark, sf):
+    return rewarded(spark, sf).where("final_answer <> ''")
+
+
+for base, on_rows in ON_ANSWERED.items():
+    query(f"{base}_answered", ORACLES[base].replace(WITH_R, WITH_ANSWERED))(
+        lambda spark, sf, on_rows=on_rows: rounded(on_rows(answered(spark, sf)))
+    )

@@ -12,7 +12,9 @@ from voteframe.functions.text import word_count
 from voteframe.operators import ordering as o, passk, prompts, voting
 from voteframe.operators.curation import group_solutions  # noqa: F401
 from voteframe.operators.distributions import prompt_token_summary
+from voteframe.operators.selection import nest_by_problem
 from voteframe.session import work_dir
+from voteframe.sources.readers import read_solution_results
 
 SCHEMA = "k string, i long, v double, t string"
 
@@ -125,3 +127,15 @@ def test_gaps_in_positions_do_not_matter(spark, call):
     holed = dense.withColumn("response_idx", 5 + F.col("response_idx") * 3 + F.when(F.col("response_idx") > 4, 40).otherwise(0))
     rows = [sorted(map(repr, call(d).collect())) for d in (dense, holed)]
     assert rows[0] and rows[0] == rows[1]
+
+
+def test_nested_blocks_keep_positions(spark, tmp_path):
+    df = spark.createDataFrame([("p", 10 + 2 * i, str(i)) for i in range(11)], "problem_id string, response_idx long, final_answer string")
+    nested = nest_by_problem(df, ["final_answer"], block=4)
+    assert sorted((r.start, len(r.solutions)) for r in nested.collect()) == [(0, 4), (4, 4), (8, 3)]
+    nested.select(F.array(F.struct("problem_id", "start", "solutions")).alias("generated_solutions")).write.json(str(tmp_path / "n"))
+    rows = read_solution_results(spark, str(tmp_path / "n"), multi_line=False).collect()
+    assert sorted((r.response_idx, r.final_answer) for r in rows) == sorted((i, str(i)) for i in range(11))
+    lists = nested.select("problem_id", "start", F.transform("solutions", lambda s: s["final_answer"]).alias("predictions"), F.lit("9").alias("ground_truth"))
+    got = {r.k: r.pass_at_k for r in passk.pass_at_k_list(lists, [9, 10], start="start").collect()}
+    assert got == {9: 0.0, 10: 1.0}

@@ -69,16 +69,22 @@ def pass_at_k_fixed(
 
 def pass_at_k_list(
     df: DataFrame, ks: Sequence[int] = (1, 5, 10), predictions: str = "predictions",
-    truth: str = "ground_truth", grader: Grader = g.equivalent,
+    truth: str = "ground_truth", grader: Grader = g.equivalent, start: str | None = None,
+    keys: Sequence[str] = ("problem_id",),
 ) -> DataFrame:
     """Mean over problems of pass@k from a predictions array (or a single prediction, which counts
-    for every k)."""
+    for every k). With ``start``, the position of an array's first prediction, a problem may lie in
+    several rows, which ``keys`` tell belong together."""
     preds = F.col(predictions)
     if dict(df.dtypes)[predictions] == "string":
         preds = F.array(preds)
     right = F.transform(preds, lambda p: F.coalesce(grader(p, F.col(truth)), F.lit(False)))
     hit = F.array_position(right, True)
-    means = df.withColumn("__hit", hit).agg(
+    hits = df.withColumn("__hit", hit)
+    if start is not None:
+        least = F.min(F.when(hit > 0, hit + F.col(start)))
+        hits = df.groupBy(*keys).agg(F.coalesce(least, F.lit(0)).alias("__hit"))
+    means = hits.agg(
         *[F.avg(((F.col("__hit") > 0) & (F.col("__hit") <= k)).cast("double")).alias(str(k)) for k in ks]
     )
     long = means.unpivot([], [str(k) for k in ks], "k", "pass_at_k")

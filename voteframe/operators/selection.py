@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voteframe.functions import confidence, logprobs as lp
 from voteframe.functions.text import token_count
-from voteframe.operators.ordering import row_numbers, sample_key
+from voteframe.operators.ordering import row_numbers, sample_key, with_positions
 from voteframe.schemas import SCORE_NAMES
 
 # Fixed value: the instruction appended to every problem.
@@ -70,16 +70,18 @@ def nest_by_problem(
     df: DataFrame, fields: Sequence[str], keys: Sequence[str] = ("problem_id",),
     order: str = "response_idx", name: str = "solutions", block: int = 4096,
 ) -> DataFrame:
-    """Responses as ordered arrays: one row per problem and ``block`` consecutive positions.
+    """Responses as ordered arrays: one row per problem and ``block`` consecutive responses, with
+    ``start``, the position of the first of them.
 
-    A problem of usual size is one row with block 0; a huge one becomes several rows, so no array
-    and no task grows with the problem.
+    A problem of usual size is one row with start 0; a huge one becomes several rows, so no array
+    and no task grows with the problem. Readers add ``start`` to the place in the array.
     """
     item = F.struct(F.col(order).alias("__pos"), *fields)
     ordered = F.array_sort(F.collect_list(item))
     plain = F.transform(ordered, lambda s: F.struct(*[s[f].alias(f) for f in fields]))
-    blocked = df.withColumn("block", F.floor(F.col(order) / block).cast("int"))
-    return blocked.groupBy(*keys, "block").agg(plain.alias(name))
+    numbered = with_positions(df, keys, order, "__place")
+    blocked = numbered.withColumn("start", F.floor(F.col("__place") / block) * block)
+    return blocked.groupBy(*keys, "start").agg(plain.alias(name))
 
 
 def ensure_confidence_columns(

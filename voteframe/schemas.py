@@ -76,6 +76,7 @@ SOLUTION_RESULTS = T.StructType(
                         T.StructField("problem_id", T.StringType()),
                         T.StructField("problem_text", T.StringType()),
                         T.StructField("ground_truth", T.StringType()),
+                        T.StructField("start", T.LongType()),
                         T.StructField(
                             "solutions",
                             T.ArrayType(

@@ -103,7 +103,8 @@ def normalize_benchmark(df: DataFrame, dataset: str, order: str) -> DataFrame:
 
 
 def read_solution_results(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Nested result files, one row per solution with its position.
+    """Nested result files, one row per solution with its position; the ``start`` of a problem that
+    was written in several parts is added.
 
     A multi-line file is one JSON document and is read by one task; ``multi_line=False`` reads the
     same structure as one document per line, which Spark can split.
@@ -112,9 +113,10 @@ def read_solution_results(spark: SparkSession, path: str, multi_line: bool = Tru
     problems = df.select("dataset_name", F.explode("generated_solutions").alias("p"))
     rows = problems.select(
         "dataset_name", "p.problem_id", "p.problem_text", "p.ground_truth",
-        F.posexplode("p.solutions").alias("response_idx", "s"),
+        F.coalesce("p.start", F.lit(0).cast("bigint")).alias("start"), F.posexplode("p.solutions").alias("place", "s"),
     )
-    return rows.select(*rows.columns[:-1], "s.*")
+    place = (F.col("start") + F.col("place")).cast("int").alias("response_idx")
+    return rows.select(*rows.columns[:-3], place, "s.*")
 
 
 def numeric_answer(answer: Column) -> Column:
