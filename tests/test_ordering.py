@@ -122,3 +122,20 @@ def test_date_order(spark):
     df = spark.sql("select date '1960-05-01' d union all select date '2020-01-01' union all select date '1970-01-01'")
     got = [r.row_no for r in o.row_numbers(df, [], "d").orderBy("d").collect()]
     assert got == [0, 1, 2]
+
+
+@pytest.mark.parametrize("kind", ["offset", "prefix"])
+def test_chunks_are_even_for_offsets_and_shared_prefixes(spark, kind):
+    ids = spark.range(10_000)
+    v = F.col("id") + F.lit(10**12) if kind == "offset" else F.format_string("gsm8k_%05d", "id")
+    df = ids.select("id", v.alias("v"))
+    rows = [r["count"] for r in df.groupBy(o.fitted_bucket(df, "v").alias("b")).count().collect()]
+    assert len(rows) >= 100 and max(rows) <= 2 * 10_000 / len(rows)
+    got = {r.id: r.row_no for r in o.row_numbers(df, [], "v").collect()}
+    assert got == {i: i for i in range(10_000)}
+
+
+@pytest.mark.parametrize("values", [[7.0], [], [None, None], [-1e12, -1e12 - 5], [1e12, float("inf")], [1e12, float("nan"), None]])
+def test_ranges_without_width_or_end(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert sorted(r.row_no for r in o.row_numbers(df, [], "v").collect()) == list(range(len(values)))

@@ -6,8 +6,9 @@ group is cut into chunks by a monotone, row-local function of its order column,
 * inside a chunk an ordinary window numbers or sums the rows, and
 * a small table of chunk totals supplies what lies before the chunk.
 
-The chunk of a row depends on nothing but its own value (no sampling, no sketches), so a recomputed
-task always agrees with the first attempt.
+The chunk of a row depends on its own value and on constants only: at most the smallest and largest
+value, which a first job reads (no sampling, no sketches), so a recomputed task always agrees with
+the first attempt.
 
 A null key is a group like any other, and a null order value comes first, on both paths: joins on
 keys and chunks are null-safe, so what a group's size decides is the plan and never the rows.
@@ -20,12 +21,15 @@ group per metric or set size. Without keys the whole table is one group and alwa
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 HOT_ROWS = 1_000_000
 FINEST = 8192  # buckets per factor of e on a large cluster
+EVEN = 16  # equal buckets of a narrow range, for each bucket per factor of e
 _LOG_RANGE = 760  # logarithms of doubles lie within -745 and 710
 
 
@@ -44,20 +48,45 @@ def order_bucket(value: Column, per_efold: int = FINEST) -> Column:
     return F.when(x == 0, F.lit(0)).when(x > 0, size).otherwise(-size).cast("bigint")
 
 
-def text_bucket(text: Column) -> Column:
-    """Monotone bucket of a string: its first three bytes. Texts that share a long prefix share a
-    bucket; a numeric order column or a digest spreads better."""
-    head = F.hex(F.substring(F.encode(text, "UTF-8"), 1, 3))
+def text_bucket(text: Column, shared: int = 0) -> Column:
+    """Monotone bucket of a string: three bytes behind the first ``shared``, which all have alike."""
+    head = F.hex(F.substring(F.encode(text, "UTF-8"), shared + 1, 3))
     return F.conv(F.rpad(head, 6, "0"), 16, 10).cast("bigint")
 
 
-def default_bucket(df: DataFrame, order: str) -> Column:
+def even_bucket(value: Column, low: float, high: float, buckets: int) -> Column:
+    """Monotone bucket of a number between ``low`` and ``high``: parts of equal width."""
+    return F.floor((value.cast("double") - F.lit(low)) * F.lit(buckets / (high - low))).cast("bigint")
+
+
+def type_bucket(df: DataFrame, order: str) -> Column:
     """The bucket that fits the type of the order column."""
-    kind = dict(df.dtypes)[order]
-    if kind == "string":
+    if dict(df.dtypes)[order] == "string":
         return text_bucket(F.col(order))
-    number = F.unix_date(order) if kind == "date" else F.col(order)
-    return order_bucket(number, resolution(df.sparkSession))
+    return order_bucket(_number(df, order), resolution(df.sparkSession))
+
+
+def fitted_bucket(df: DataFrame, order: str) -> Column:
+    """The bucket that fits the type and the range of the order column (runs one small job).
+
+    Whatever lies between two texts begins with what these two have in common, so texts are told
+    apart behind the common beginning of the smallest and the largest. Numbers farther from zero
+    than from each other (ids with an offset, times) get buckets of equal width.
+    """
+    if dict(df.dtypes)[order] == "string":
+        ends = df.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
+        both = [(t or "").encode() for t in (ends.low, ends.high)]
+        return text_bucket(F.col(order), len(commonprefix(both)))
+    number, parts = _number(df, order), resolution(df.sparkSession)
+    ends = df.agg(F.min(number.cast("double")).alias("low"), F.max(number.cast("double")).alias("high")).first()
+    finite = ends.low is not None and math.isfinite(ends.low) and math.isfinite(ends.high)
+    if finite and 0 < ends.high - ends.low <= min(abs(ends.low), abs(ends.high)):
+        return even_bucket(number, ends.low, ends.high, EVEN * parts)
+    return order_bucket(number, parts)
+
+
+def _number(df: DataFrame, order: str) -> Column:
+    return F.unix_date(order) if dict(df.dtypes)[order] == "date" else F.col(order)
 
 
 def hash_bucket(df: DataFrame, digest: str) -> Column:
@@ -105,7 +134,6 @@ def running_totals(
     ``order`` must be unique within a key. Without keys the whole table is one ordered group.
     """
     keys = list(keys)
-    bucket = default_bucket(df, order) if bucket is None else bucket
     before = lambda *part: Window.partitionBy(*part).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)
     if keys and chunk == "auto":
@@ -118,9 +146,10 @@ def running_totals(
                 added |= {f"{n}_total": F.sum(c).over(whole) for n, c in measures.items()}
             return df.withColumns(added)
         flagged = null_safe_join(df, hot.withColumn("__hot", F.lit(True)), keys, "left")
+        bucket = fitted_bucket(df, order) if bucket is None else bucket
         place = F.when(F.col("__hot"), bucket).otherwise(F.lit(0).cast("bigint"))
     else:
-        flagged, place = df, bucket
+        flagged, place = df, fitted_bucket(df, order) if bucket is None else bucket
     names = {name: f"__m{i}" for i, name in enumerate(measures)}
     cut = flagged.withColumns({names[n]: c for n, c in measures.items()} | {"__chunk": place})
     # One row per chunk: at most a few hundred thousand per group, however large the group is.
@@ -209,7 +238,7 @@ def value_counts(
     rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
     cells = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(rows.alias("__n"))
     below = {"__below": F.col("__n")}
-    return running_totals(cells, keys, value, below, None, hot_rows, chunk, totals=True)
+    return running_totals(cells, keys, value, below, type_bucket(cells, value), hot_rows, chunk, totals=True)
 
 
 def exact_percentiles(
