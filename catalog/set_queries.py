@@ -177,6 +177,17 @@ def k10(spark, sf):
     return df.select("set_size", "set_id", "difficulty", "split")
 
 
+@query(
+    "k10_curate_curriculum",
+    WITH_R + members_sql([4, 2, 1], False) + RECORDS + MIXED + SPLIT.format(src="mixed")
+    + "select m.set_size, case when p < floor(n * 0.8e0) then 'train' else 'validation' end as split, m.difficulty, count(*) as sets "
+    "from mixed m join ranked r2 on m.set_size = r2.set_size and m.problem_id = r2.problem_id group by 1, 2, 3",
+)
+def k10_curriculum(spark, sf):
+    df = cu.curate(fx.responses(spark, sf), 4, NUM, "curriculum")
+    return df.groupBy("set_size", "split", "difficulty").agg(F.count(F.lit(1)).alias("sets"))
+
+
 @query(
     "k10_curate_naive",
     WITH_R + members_sql([4], False) + RECORDS + MIXED + SPLIT.format(src="mixed")

@@ -14,7 +14,7 @@ from voteframe.functions import grading as g
 from voteframe.functions.grading import Grader
 from voteframe.functions.text import token_count
 from voteframe.operators.ordering import (
-    HOT_ROWS, hash_bucket, hash_row_numbers, row_numbers, running_totals, sample_key,
+    HOT_ROWS, hash_bucket, hash_row_numbers, null_safe_join, row_numbers, running_totals, sample_key,
 )
 from voteframe.operators.prompts import PLAIN_TEMPLATE, set_prompt
 from voteframe.operators.selection import filter_by_token_length
@@ -185,18 +185,18 @@ def classify_sets(sets: DataFrame) -> DataFrame:
 def mix_easy(
     sets: DataFrame, percent: float = 50, seed: int = 42
 ) -> DataFrame:
-    """Per set size: all hard sets and floor(hard * percent / 100) easy ones in hash order."""
+    """Per set size: all hard sets and floor(hard * percent / 100) easy ones in hash order, which is
+    settled on the keys alone; sets without an id are taken or left together."""
     hard = sets.where(F.col("difficulty") == "hard")
     # One row per set size: as many rows as the configuration has sizes.
     quota = hard.groupBy("set_size").agg(
         F.floor(F.count(F.lit(1)) * F.lit(float(percent)) / 100).alias("__quota")
     )
-    easy = sets.where(F.col("difficulty") == "easy").withColumn(
-        "__digest", sample_key("set_id", seed=seed)
-    )
-    placed = hash_row_numbers(easy, ["set_size"], "__digest", "__pos", chunk="always")
-    chosen = placed.join(quota, "set_size").where(F.col("__pos") < F.col("__quota"))
-    return hard.unionByName(chosen.select(*sets.columns))
+    easy = sets.where(F.col("difficulty") == "easy")
+    keys = easy.select("set_size", "set_id").withColumn("__digest", sample_key("set_id", seed=seed))
+    placed = hash_row_numbers(keys, ["set_size"], "__digest", "__pos", chunk="always")
+    chosen = placed.join(quota, "set_size").where(F.col("__pos") < F.col("__quota")).select("set_size", "set_id")
+    return hard.unionByName(null_safe_join(easy, chosen, ["set_size", "set_id"], "left_semi"))
 
 
 def split_by_problem(
@@ -215,7 +215,7 @@ def split_by_problem(
     marked = placed.select(
         "set_size", "problem_id", F.when(train, "train").otherwise("validation").alias("split")
     )
-    return sets.join(marked, ["set_size", "problem_id"])
+    return null_safe_join(sets, marked, ["set_size", "problem_id"])
 
 
 def curate(
@@ -231,7 +231,10 @@ def curate(
     members = make_sets(df, num, sizes, fill, seed)
     # The sets are read several times below, so they are written once.
     records = cut_lineage(classify_sets(set_records(members, confidence_key, template, grader)), "sets")
-    return split_by_problem(mix_easy(records, percent, seed), fraction, seed)
+    keys = ["set_size", "problem_id", "set_no"]
+    slim = records.select(*keys, "set_id", "difficulty")
+    marked = split_by_problem(mix_easy(slim, percent, seed), fraction, seed)
+    return null_safe_join(records, marked.select(*keys, "split"), keys)
 
 
 def group_solutions(
@@ -287,8 +290,11 @@ def aggregation_requests(
         F.transform(F.array_sort(F.collect_list(member)), solution).alias("solutions"),
         F.count_if(right).alias("correct_count"),
     )
-    groups = requests.groupBy("problem_id").agg(F.count(F.lit(1)).alias("num_groups"))
-    return requests.join(groups, "problem_id")
+    # All groups are full, so their number follows from a count that combines before the shuffle.
+    full = F.floor(F.count(F.lit(1)) / size)
+    full = F.least(full, F.lit(max_groups).cast("bigint")) if max_groups else full
+    groups = kept.groupBy("problem_id").agg(full.alias("num_groups"))
+    return null_safe_join(requests, groups, ["problem_id"])
 
 
 def group_sizes_text(num_groups: Column, size: int) -> Column:
