@@ -158,15 +158,15 @@ RESPONSES_SQL = render("events", RESPONSES)
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log-probabilities from embeddings: five per token, 1 to 64 tokens, with an empty first token
-    (vec_id % 13 = 0), a short last one (vec_id % 7 = 0), no tokens (vec_id % 50 = 0) or null
+    """Log-probabilities from embeddings: five per token, one token for each value and up to 15 more
+    for the first values again, with an empty first token (vec_id % 13 = 0), a short last one (vec_id % 7 = 0), no tokens (vec_id % 50 = 0) or null
     (vec_id % 61 = 0)."""
     df = table(spark, sf_dir, "embeddings")
-    count = F.when(F.col("vec_id") % 50 == 0, F.lit(0)).otherwise(1 + F.col("vec_id") % 64).cast("int")
+    count = F.when(F.col("vec_id") % 50 == 0, F.lit(0)).otherwise(F.size("embedding") + F.col("vec_id") % 16).cast("int")
     steps = (0.0, 0.1, 0.2, 0.3, 0.4)
     around = lambda x, n: F.array(*[x.cast("double") - F.lit(d) for d in steps[:n]])
     nested = F.transform(
-        F.slice("embedding", F.lit(1), count),
+        F.slice(F.concat("embedding", "embedding"), F.lit(1), count),
         lambda x, i: F.when((F.col("vec_id") % 13 == 0) & (i == 0), F.array().cast("array<double>"))
         .when((F.col("vec_id") % 7 == 0) & (i == count - 1), around(x, 4))
         .otherwise(around(x, 5)),
@@ -183,13 +183,13 @@ TOKENS_SQL = """
 select vec_id as response_no, concat('r', cast(vec_id as string)) as response_id,
   concat('q', cast(vec_id % 37 as string)) as problem_id,
   case when vec_id % 61 = 0 then null else
-  list_transform(list_zip(embedding[1:cnt], range(0, cnt)), lambda z:
+  list_transform(list_zip(list_concat(embedding, embedding)[1:cnt], range(0, cnt)), lambda z:
     case when vec_id % 13 = 0 and z[2] = 0 then cast([] as double[])
     when vec_id % 7 = 0 and z[2] = cnt - 1 then
       list_transform([0.0, 0.1, 0.2, 0.3], lambda d: cast(z[1] as double) - cast(d as double))
     else list_transform([0.0, 0.1, 0.2, 0.3, 0.4], lambda d: cast(z[1] as double) - cast(d as double)) end)
   end as logprobs
-from (select *, case when vec_id % 50 = 0 then 0 else 1 + vec_id % 64 end as cnt from embeddings)
+from (select *, case when vec_id % 50 = 0 then 0 else len(embedding) + vec_id % 16 end as cnt from embeddings)
 """
 
 QUALITY_LAYERS = [

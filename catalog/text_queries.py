@@ -60,16 +60,15 @@ def t5(spark, sf):
     "when text_kind = 1 then case when final_answer = '' then '' else trim(final_answer) end "
     "when text_kind = 2 then 'wrong' "
     f"when text_kind = 3 then concat({fx.FRAC}, cast(response_idx as string)) "
-    "when text_kind = 4 then concat('a', chr(92)) when text_kind = 5 then '' "
+    "when text_kind = 4 then concat('a', chr(92)) when text_kind = 5 then cast(pos as string) "
     "when text_kind = 6 then concat(cast(pos as string), '.5') else '' end as final_answer from r",
 )
 def t6(spark, sf):
     df = fx.responses(spark, sf)
     # Strict content where there is some, else the raw text, so every construct is exercised.
     content = F.when(t.content_strict(TEXT()) != "", t.content_strict(TEXT())).otherwise(TEXT())
-    numbered = F.when(F.col("text_kind") == 5, F.lit("")).otherwise(content)
     return df.select(
-        "event_id", F.coalesce(t.final_answer_regex(numbered), F.lit("")).alias("final_answer")
+        "event_id", F.coalesce(t.final_answer_regex(content), F.lit("")).alias("final_answer")
     )
 
 
