@@ -67,3 +67,28 @@ def test_defined_results(odd, labels):
     assert words[4] == (60_000, 0) and words[5] == (60_000, 60_000) and words[9] == (1, 0)
     prints = {r.doc_id: r for r in fingerprints.fingerprints(odd).collect()}
     assert prints[1].fingerprint == prints[2].fingerprint == "" and prints[4].fingerprint == prints[5].fingerprint
+
+
+@pytest.fixture(scope="module")
+def folder(labels, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("tables"))
+    labels.write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, folder, stage):
+    import corpus_pipeline
+
+    docs = odd.withColumn("n_chars", F.length("text").cast("long"))
+    name, function = corpus_pipeline.STAGES[stage]
+    out = function(spark, docs, folder)
+    rows = out.collect()
+    assert rows and function(spark, docs.limit(0), folder).count() == 0
+    if name != "packing":
+        assert out.columns == docs.columns
+        assert {r.doc_id for r in rows} <= {r[0] for r in ROWS}
+    if name == "line_dedup":
+        assert len(rows) == len(ROWS) and sum(r.text is None for r in rows) == 2
+    if name == "jaccard_join":
+        assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 3, 4, 6, 8, 9, 10]
