@@ -273,6 +273,19 @@ def test_winnowing_equals_the_plain_version():
         assert list(zip(map(int, hashes), map(int, places))) == plain_winnow(text, 4, 6)
 
 
+def test_a_short_text_resembles_its_edited_form():
+    rng = random.Random(4)
+    for n in range(24, 119, 5):
+        text, other = ("".join(rng.choice("abcdefghij ") for _ in range(n)) for _ in range(2))
+        edited = text[: n - n // 3] + other[: n // 3]
+        grams = lambda t: {t[i : i + fingerprints.K] for i in range(len(t) - fingerprints.K + 1)}
+        true = len(grams(text) & grams(edited)) / len(grams(text) | grams(edited))
+        (a, _), (b, _) = fingerprints.winnow([text, edited])
+        if n - n // 3 >= fingerprints.K + fingerprints.W - 1:
+            assert fingerprints.likeness(a, b) > 0, n
+        assert abs(fingerprints.likeness(a, b) - true) < 0.35, n
+
+
 def test_edits_take_the_next_document(spark, texts):
     rows = {r.doc_id: r for r in QUERIES["op9_fingerprints"](spark, SF).collect()}
     order = sorted(texts, reverse=True)

@@ -18,7 +18,8 @@ from pyspark.taskcontext import TaskContext
 from voteframe.llm.common import map_arrow, slices
 from voteframe.llm.words import mix, range_hashes
 
-K, W = 16, 64
+#: Two texts that share a run of ``K + W - 1`` = 19 characters share a chosen hash.
+K, W = 16, 4
 _BASE = 0x9E3779B97F4A7C15
 U = np.uint64
 
