@@ -156,6 +156,22 @@ def test_context_tells_quoting_from_abuse():
     assert toxicity.features("you are an 1diot idot", lexicon)[:4] == [0, 2, 0, 2]
 
 
+def test_toxicity_scores_do_not_depend_on_the_sample_size(spark):
+    path = f"{SF[:-5]}0.1"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    rows = docs.join(labels, "doc_id")
+    model = toxicity.learn(docs, labels, F.lit(True), sample_rows=500)  # half of the sample is toxic, a ninth of all
+    mean = toxicity.score(rows, model).agg(F.mean("score")).first()[0]
+    share = rows.agg(F.mean("toxic")).first()[0]
+    assert abs(mean - share) < 0.03
+
+
+def test_class_shift():
+    assert toxicity.class_shift({0: 900, 1: 100}, 1000, {0: 900, 1: 100}, {0: 900, 1: 100}) == 0
+    assert np.isclose(toxicity.class_shift({0: 900, 1: 100}, 100, {0: 100, 1: 100}, {0: 50, 1: 100}), np.log(1 / 9) - np.log(2))
+    assert toxicity.class_shift({1: 5}, 10, {1: 5}, {1: 5}) == 0
+
+
 def test_toxicity_on_held_out_labels(spark):
     path = f"{SF[:-5]}0.1"  # the smaller tables label a few dozen toxic documents only
     labels = spark.read.parquet(f"{path}/labels.parquet")

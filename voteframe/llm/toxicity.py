@@ -150,8 +150,9 @@ def features(text: str | None, lexicon: Lexicon, context: int = CONTEXT) -> list
 
 
 def one_of_copies(labelled: DataFrame) -> DataFrame:
-    """``text, label`` of the sample without most near copies, whose rare words would look frequent:
-    of texts of one label that share the smallest shingle hash, the one of the smallest id."""
+    """``text, label, copies`` of the sample without most near copies, whose rare words would look
+    frequent: of texts of one label that share the smallest shingle hash, the one of the smallest id
+    and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -163,7 +164,8 @@ def one_of_copies(labelled: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least.view(np.int64))], ["text", "label", "__id", "sketch"])
 
     sketched = map_arrow(labelled, run, "text string, label int, __id long, sketch long")
-    return sketched.groupBy("sketch", "label").agg(F.min_by("text", "__id").alias("text")).select("text", "label")
+    kept = sketched.groupBy("sketch", "label").agg(F.min_by("text", "__id").alias("text"), F.count(F.lit(1)).alias("copies"))
+    return kept.select("text", "label", "copies")
 
 
 def stem_counts(labelled: DataFrame) -> DataFrame:
@@ -208,7 +210,7 @@ def choose_stems(counts: DataFrame, toxic: int, clean: int, size: int) -> list[s
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
     """Weights of log1p counts and a constant, by Newton's method with a ridge; both classes weigh
-    as they occur."""
+    as they occur in the rows (``class_shift`` corrects that)."""
     z = np.column_stack([np.log1p(x), np.ones(len(x))])
     w = np.zeros(z.shape[1])
     penalty = np.diag([ridge] * x.shape[1] + [1e-3])
@@ -222,6 +224,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return w
 
 
+def class_shift(labels: dict[int, int], drawn: int, rows: dict[int, int], texts: dict[int, int]) -> float:
+    """What to add to the constant of a fit so that the classes weigh as in all usable documents:
+    ``labels`` usable ones of each class, at most ``drawn`` of them sampled, found in ``rows``
+    documents, of which the fit saw ``texts`` after copies were removed."""
+    if not (texts.get(0) and texts.get(1)):
+        return 0.0
+    whole = {v: rows[v] * labels[v] / min(labels[v], drawn) for v in (0, 1)}
+    return math.log(whole[1] / whole[0]) - math.log(texts[1] / texts[0])
+
+
 class Model:
     """A lexicon and the weights of the hit counts."""
 
@@ -248,7 +260,9 @@ def learn(
     label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, lexicon: int = LEXICON,
 ) -> Model:
     """A model from at most ``sample_rows`` labelled documents, half of each class if there are as
-    many; ``use`` selects the labels that may be learned from. No labels: a model that scores 0."""
+    many; ``use`` selects the labels that may be learned from. Scores are corrected to the classes'
+    shares of all usable documents, so they do not depend on the sample's. No labels: a model that
+    scores 0."""
     usable = labels.where(use & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     usable = usable.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
     halves = [smallest_hashes(usable.where(F.col("label") == v), "__id", sample_rows // 2) for v in (0, 1)]
@@ -256,14 +270,18 @@ def learn(
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     labelled = rows.join(sample, rows[id_col] == F.col("__id")).select("text", "label", F.col("__id").cast("long"))
     labelled = cut_lineage(one_of_copies(labelled), "labelled")
-    numbers = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
+    counted = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("rows")).collect()
+    numbers, rows_of = ({r.label: r[c] for r in counted} for c in ("texts", "rows"))
     if not numbers.get(1):
         return Model([], None)
+    all_labels = {r.label: r["count"] for r in usable.groupBy("label").count().collect()}
     stems = choose_stems(stem_counts(labelled), numbers[1], numbers.get(0, 0), lexicon)
     model = Model(stems, None)
     data = hit_counts(labelled.withColumnRenamed("label", "doc_id"), model, "doc_id", "text").collect()
     x = np.array([r[1] for r in data], float).reshape(len(data), len(FEATURES))
-    return Model(stems, fit_logistic(x, np.array([r[0] for r in data], float)))
+    weights = fit_logistic(x, np.array([r[0] for r in data], float))
+    weights[-1] += class_shift(all_labels, sample_rows // 2, rows_of, numbers)
+    return Model(stems, weights)
 
 
 def hit_counts(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
