@@ -150,6 +150,26 @@ def test_automaton_equals_edit_distance():
         assert lexicon.near(word) == any(edits(word, s) <= 1 for s in stems if len(s) >= 5), word
 
 
+def test_words_begin_with_edited_stems():
+    stems = ["achlich", "idiot", "moron", "scum"]
+    lexicon = toxicity.Lexicon(stems, open_stems=("achlich", "idiot", "scum"))
+    for word in ("achlixchtz", "acchlichheit", "achlchver", "idjots", "idjotically", "sccum", "scvum", "skum", "skumbag"):
+        assert lexicon.kind(word) == 1, word
+    for word in ("achkeiten", "idioma", "sum", "summary", "moxons"):  # no open stem, or a last character that differs
+        assert lexicon.kind(word) == 0, word
+    rng = random.Random(6)
+    for _ in range(3000):
+        word = list(rng.choice(stems) + rng.choice(["", "s", "ly", "ment"]))
+        for _ in range(rng.randrange(3)):
+            word[rng.randrange(len(word))] = rng.choice("aeiolstcmu")
+        word = "".join(word)
+        want = {
+            s for s in stems for n in range(len(s) - (len(s) > 4), len(s) + 2)
+            if n <= len(word) and word[n - 1] == s[-1] and edits(word[: n - 1], s[:-1]) <= 1
+        }
+        assert lexicon.beginnings(word) == want, word
+
+
 def test_context_tells_quoting_from_abuse():
     lexicon = toxicity.Lexicon(["idiot"])
     assert toxicity.features('he said "idiot" to him', lexicon)[2] == 1

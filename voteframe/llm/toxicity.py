@@ -2,9 +2,10 @@
 
 The lexicon holds stems learned from labelled documents: beginnings of words that are frequent in
 toxic documents and all but absent from the others. A word hits a stem if it begins with it, or if
-it lies within one edit of it. The second test is the intersection of the Levenshtein automata of
-all stems with their trie: a set of (trie node, edits) pairs walked one character at a time, whose
-subsets become states of one automaton when they are first met.
+it lies within one edit of it, or, for stems whose edited forms are as rare in the other documents as
+the stems, if it begins with an edited form. The tests of edits are the intersection of the
+Levenshtein automata of all stems with their trie: a set of (trie node, edits) pairs walked one
+character at a time, whose subsets become states of one automaton when they are first met.
 
 A hit's context tells quoting from abusing: quotation marks and words of reporting near it on the
 one hand, words of address on the other. A logistic regression on the counts of hits by kind gives
@@ -53,7 +54,7 @@ def tokens(text: str | None) -> list[str]:
 class Lexicon:
     """Stems in a trie; ``kind`` tells how a word hits one. States are sets of (node, edits)."""
 
-    def __init__(self, stems: list[str], fuzzy_chars: int = FUZZY_CHARS) -> None:
+    def __init__(self, stems: list[str], fuzzy_chars: int = FUZZY_CHARS, open_stems: tuple[str, ...] = ()) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.stem_at: list[str | None] = [None]
         for stem in sorted(stems):
@@ -66,7 +67,9 @@ class Lexicon:
                 node = self.children[node][c]
             self.stem_at[node] = stem
         self.fuzzy_chars = fuzzy_chars
+        self.open = frozenset(open_stems)
         self.moves: dict[tuple[frozenset, str], frozenset] = {}
+        self.ends: dict[tuple[frozenset, str], list[str]] = {}
         self.start = self.closed({(0, 0)})
 
     def closed(self, pairs: set[tuple[int, int]]) -> frozenset:
@@ -108,6 +111,24 @@ class Lexicon:
                 return False
         return any(s is not None and len(s) >= self.fuzzy_chars for s in (self.stem_at[n] for n, _ in state))
 
+    def beginnings(self, word: str) -> set[str]:
+        """Stems of which the word begins with a form of at most one edit. The form ends with the
+        stem's last character (else all words with the stem's beginning would count), and one of a
+        stem below ``fuzzy_chars`` leaves no character out."""
+        state, found = self.start, set()
+        for i, c in enumerate(word):
+            ends = self.ends.get((state, c))
+            if ends is None:
+                nodes = {self.children[n][c] for n, _ in state if c in self.children[n]}
+                ends = [s for n in nodes if (s := self.stem_at[n]) is not None]
+                if len(self.ends) < 200_000:
+                    self.ends[state, c] = ends
+            found.update(s for s in ends if len(s) >= self.fuzzy_chars or i + 1 >= len(s))
+            state = self.step(state, c)
+            if not state:
+                break
+        return found
+
     @lru_cache(maxsize=1 << 17)
     def kind(self, word: str) -> int:
         """2: begins with a stem, 1: a misspelling, 0: neither."""
@@ -116,7 +137,7 @@ class Lexicon:
         plain = word.translate(SWAPS)
         if plain != word and self.begins(plain):
             return 1
-        return int(self.near(word))
+        return int(self.near(word) or (bool(self.open) and not self.open.isdisjoint(self.beginnings(word))))
 
 
 FEATURES = ("stem_hits", "misspelt_hits", "quoted_hits", "addressed_hits", "hits_per_100_words")
@@ -208,6 +229,29 @@ def choose_stems(counts: DataFrame, toxic: int, clean: int, size: int) -> list[s
     return sorted(sorted(best, key=lambda s: (-support[s], s))[:size])
 
 
+def choose_open_stems(labelled: DataFrame, stems: list[str], toxic: int, clean: int) -> list[str]:
+    """Stems that, with the edited forms that words begin with, still are at most a hundredth as
+    often in other documents as in toxic ones."""
+    chosen = tuple(stems)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lru_cache(maxsize=1 << 17)(_lexicon(chosen).beginnings)
+        counts = Counter(), Counter()
+        for batch in slices(batches, "text"):
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts[int(bool(label))].update({s for w in set(tokens(text)) for s in of(w)})
+        for label, counted in enumerate(counts):
+            if counted:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(counted), pa.string()), pa.array([label] * len(counted)), pa.array(list(counted.values()))],
+                    ["stem", "label", "n"],
+                )
+
+    counted = map_arrow(labelled, run, "stem string, label long, n long").groupBy("stem", "label").agg(F.sum("n").alias("n"))
+    found = {(r.stem, r.label): r.n for r in counted.collect()}  # two rows per stem at most
+    return [s for s in stems if found.get((s, 0), 0) * max(toxic, 1) * 100 <= found.get((s, 1), 0) * max(clean, 1)]
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
     """Weights of log1p counts and a constant, by Newton's method with a ridge; both classes weigh
     as they occur in the rows (``class_shift`` corrects that)."""
@@ -237,11 +281,11 @@ def class_shift(labels: dict[int, int], drawn: int, rows: dict[int, int], texts:
 class Model:
     """A lexicon and the weights of the hit counts."""
 
-    def __init__(self, stems: list[str], weights: np.ndarray | None) -> None:
-        self.stems, self.weights = stems, weights
+    def __init__(self, stems: list[str], weights: np.ndarray | None, open_stems: list[str] | None = None) -> None:
+        self.stems, self.weights, self.open_stems = stems, weights, open_stems or []
 
     def lexicon(self) -> Lexicon:
-        return _lexicon(tuple(self.stems))
+        return _lexicon(tuple(self.stems), tuple(self.open_stems))
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -251,8 +295,8 @@ class Model:
 
 
 @lru_cache(maxsize=2)
-def _lexicon(stems: tuple[str, ...]) -> Lexicon:
-    return Lexicon(list(stems))
+def _lexicon(stems: tuple[str, ...], open_stems: tuple[str, ...] = ()) -> Lexicon:
+    return Lexicon(list(stems), open_stems=open_stems)
 
 
 def learn(
@@ -276,12 +320,13 @@ def learn(
         return Model([], None)
     all_labels = {r.label: r["count"] for r in usable.groupBy("label").count().collect()}
     stems = choose_stems(stem_counts(labelled), numbers[1], numbers.get(0, 0), lexicon)
-    model = Model(stems, None)
+    open_stems = choose_open_stems(labelled, stems, numbers[1], numbers.get(0, 0))
+    model = Model(stems, None, open_stems)
     data = hit_counts(labelled.withColumnRenamed("label", "doc_id"), model, "doc_id", "text").collect()
     x = np.array([r[1] for r in data], float).reshape(len(data), len(FEATURES))
     weights = fit_logistic(x, np.array([r[0] for r in data], float))
     weights[-1] += class_shift(all_labels, sample_rows // 2, rows_of, numbers)
-    return Model(stems, weights)
+    return Model(stems, weights, open_stems)
 
 
 def hit_counts(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
