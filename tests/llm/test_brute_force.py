@@ -127,6 +127,16 @@ def test_packing_round_trip(docs, texts):
         assert at <= 1024 and at & (at - 1) == 0  # a power of two: no padding
 
 
+def test_packing_gives_added_tokens_their_ids():
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path()
+    tok = Tokenizer.from_file(packing.vocabulary_path("byte_bpe_50k.json"))
+    for text in ("x <|endoftext|> y", "<|endoftext|><|endoftext|>", "a<|endoftext|", "no such token", "tail <|endoftext|>\n\n  b"):
+        assert packing.token_ids(text, path, 0).tolist() == [*tok.encode(text, add_special_tokens=False).ids, 0], text
+    assert 50256 in packing.token_ids("x <|endoftext|> y", path, 0)
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

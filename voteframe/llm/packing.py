@@ -11,9 +11,11 @@ sequence per class.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +36,22 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 @lru_cache(maxsize=4)
 def encoder(path: str):
-    """The byte-level encoding whose ranks the file lists; texts of special tokens are plain text."""
+    """The byte-level encoding whose ranks the file lists, with the added tokens of the JSON file of
+    the same name, if there is one."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    listed = Path(path).with_suffix(".json")
+    added = json.loads(listed.read_text("utf-8"))["added_tokens"] if listed.exists() else []
+    special = {token["content"]: token["id"] for token in added}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def token_ids(text: str | None, path: str, end_id: int) -> np.ndarray:
-    ids = encoder(path).encode_ordinary(text) if text else []
+    """Ids of the text, in which an added token has its own id, and the end token."""
+    ids = encoder(path).encode(text, allowed_special="all") if text else []
     ids.append(end_id)
     return np.array(ids, "<u4")
 
