@@ -69,6 +69,24 @@ def test_defined_results(odd, labels):
     assert prints[1].fingerprint == prints[2].fingerprint == "" and prints[4].fingerprint == prints[5].fingerprint
 
 
+def test_later_mentions_of_a_name_are_replaced():
+    text = "Mr John Smith met Anna. Smith said so; JOHN left, john-of-all did not. Mr Smith, Dr Ana Maria Lopez Vega (Vega)."
+    new, found = pii.replace_all(text)
+    smith, john = pii.surrogate("Smith", "name"), pii.surrogate("John", "name")
+    assert smith != "Smith" and new.startswith(f"Mr {john} {smith} met Anna. {smith} said so; {john.upper()} left, john-of-all did not. Mr {smith}, Dr ")
+    vega = pii.surrogate("Vega", "name")
+    assert new.endswith(f" {vega} ({vega}).") and "Vega" not in new and "Lopez" not in new and len(found) == 6
+
+
+def test_short_values_have_surrogates_of_their_own():
+    names = [f"{a}{b}n".capitalize() for a in "bcdfghjklmnpqrstvwxyz" for b in "aeiou"]
+    assert len({pii.surrogate(n, "name") for n in names}) == len(names)
+    assert not any(pii.surrogate(n, "name") == n for n in names)
+    hosts = [f"{a}.{b}.1.1" for a in range(10) for b in range(10)]
+    made = [pii.surrogate(f"{h}", "ip") for h in hosts]
+    assert len(set(made)) == len(hosts) and not any(a == b for a, b in zip(hosts, made))
+
+
 @pytest.fixture(scope="module")
 def folder(labels, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("tables"))

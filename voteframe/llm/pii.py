@@ -7,8 +7,10 @@ format, so equal entities get equal surrogates in every document and different e
 ones, without a table of what has been handed out. Spelling variants of one entity (spaces, case,
 dashes) share a core of letters and digits, and so a surrogate.
 
-A permutation may leave a value as it is; then a second one is applied. ``collisions`` counts, over
-a whole corpus, surrogates that two entities share, and surrogates that are their own original.
+The permutation leaves no value as it is that has a symbol to change. Names are replaced part by
+part, and a detected name's parts are replaced wherever else the document mentions them.
+``collisions`` counts, over a whole corpus, surrogates that two entities share, and surrogates that
+are their own original.
 """
 
 from __future__ import annotations
@@ -38,11 +40,13 @@ PATTERNS = {
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)",
     "id_number": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "name": rf"\b(?:{'|'.join(TITLES)})\.?[ ]([^\W\d_a-zа-яα-ω][^\W\d_]{{1,30}}(?:[ -][^\W\d_a-zа-яα-ω][^\W\d_]{{1,30}}){{0,2}})",
+    "name": rf"\b(?:{'|'.join(TITLES)})\.?[ ]([^\W\d_a-zа-яα-ω][^\W\d_]{{1,30}}(?:[ -][^\W\d_a-zа-яα-ω][^\W\d_]{{1,30}})*)",
 }
 _COMPILED = {kind: re.compile(p) for kind, p in PATTERNS.items()}
 _NEEDS_DIGIT = ("access_key", "hex_secret", "ip", "card", "phone", "id_number")
 _DIGIT = re.compile(r"\d")
+_WORD = re.compile(r"[^\W\d_]+")
+_PART_GAP = re.compile("([ -])")
 #: What a text must hold for a pattern to be tried on it.
 _NEEDS = {"email": ["@"], "name": TITLES, "password": ["password", "passwd", "pwd", "secret", "token", "api_key", "api-key", "apikey"]}
 #: Alphabets, vowels first.
@@ -117,16 +121,25 @@ def _symbols(value: str, kind: str) -> tuple[list[str], list[list[str]]]:
 
 def permuted(value: str, kind: str, key: str, turn: int) -> list[str]:
     """A keyed permutation within the format: in each round every symbol is moved within its
-    alphabet by a hash of all others, which can be undone step by step."""
+    alphabet by a hash of all others. Then one symbol is moved by one place and the rounds are
+    undone, so that no value with a symbol that can move stays as it is."""
     symbols, choices = _symbols(value, kind)
     state = [c.index(s) for s, c in zip(symbols, choices)]
     shape = "|".join(str(len(c)) for c in choices)
-    for r in range(ROUNDS):
-        for i, options in enumerate(choices):
-            if len(options) > 1:
-                rest = ",".join(map(str, state[:i] + state[i + 1 :]))
-                digest = hashlib.blake2b(f"{kind}/{shape}/{turn}/{r}/{i}/{rest}".encode(), key=key.encode()[:64], digest_size=8).digest()
-                state[i] = (state[i] + int.from_bytes(digest, "big")) % len(options)
+    free = [i for i, options in enumerate(choices) if len(options) > 1]
+    steps = [(r, i) for r in range(ROUNDS) for i in free]
+
+    def move(r: int, i: int, sign: int) -> None:
+        rest = ",".join(map(str, state[:i] + state[i + 1 :]))
+        digest = hashlib.blake2b(f"{kind}/{shape}/{turn}/{r}/{i}/{rest}".encode(), key=key.encode()[:64], digest_size=8).digest()
+        state[i] = (state[i] + sign * int.from_bytes(digest, "big")) % len(choices[i])
+
+    for r, i in steps:
+        move(r, i, 1)
+    if free:
+        state[free[0]] = (state[free[0]] + 1) % len(choices[free[0]])
+    for r, i in reversed(steps):
+        move(r, i, -1)
     out = [c[n] for c, n in zip(choices, state)]
     if kind == "card":
         apart = int(symbols[-1]) - _luhn("".join(symbols[:-1]))
@@ -135,17 +148,30 @@ def permuted(value: str, kind: str, key: str, turn: int) -> list[str]:
 
 
 def surrogate(value: str, kind: str, key: str = KEY) -> str:
-    """The replacement of one entity, in the spelling of ``value``."""
-    for turn in range(8):
-        out = permuted(value, kind, key, turn)
-        if kind == "ip":
-            new = ".".join(out)
-        else:
-            letters = iter("".join(out))
-            new = "".join((n.upper() if c.isupper() else n) if c.isalnum() and (n := next(letters, c)) else c for c in value)
-        if new != value:
-            return new
-    return new
+    """The replacement of one entity, in the spelling of ``value``; of a name, part by part."""
+    if kind == "name" and _PART_GAP.search(value):
+        return "".join(surrogate(p, kind, key) if p and not _PART_GAP.fullmatch(p) else p for p in _PART_GAP.split(value))
+    out = permuted(value, kind, key, 0)
+    if kind == "ip":
+        return ".".join(out)
+    letters = iter("".join(out))
+    return "".join((n.upper() if c.isupper() else n) if c.isalnum() and (n := next(letters, c)) else c for c in value)
+
+
+def mentions(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Further places, outside ``spans``, where a part of a detected name stands as a word that does
+    not begin with a small letter."""
+    parts = {p.lower() for a, b, kind in spans if kind == "name" for p in re.split("[ -]", text[a:b])}
+    if not parts:
+        return []
+    found, at = [], 0
+    for m in _WORD.finditer(text):
+        while at < len(spans) and spans[at][1] <= m.start():
+            at += 1
+        inside = at < len(spans) and spans[at][0] < m.end()
+        if not inside and not m[0][0].islower() and m[0].lower() in parts:
+            found.append((*m.span(), "name"))
+    return found
 
 
 def replace_all(text: str | None, key: str = KEY) -> tuple[str | None, list[tuple[str, str, str]]]:
@@ -153,7 +179,8 @@ def replace_all(text: str | None, key: str = KEY) -> tuple[str | None, list[tupl
     if not text:
         return text, []
     parts, at, found = [], 0, []
-    for start, end, kind in detect(text):
+    spans = detect(text)
+    for start, end, kind in sorted(spans + mentions(text, spans)):
         value = text[start:end]
         new = surrogate(value, kind, key)
         parts += [text[at:start], new]
