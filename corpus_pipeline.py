@@ -22,8 +22,9 @@ def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def fewer_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines of recurring templates; of each template one line stays."""
-    return linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Documents without the lines of recurring templates, short lines included; of each template
+    one line stays."""
+    return linededup.dedup_lines(docs, min_tokens=1).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

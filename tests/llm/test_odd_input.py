@@ -94,6 +94,15 @@ def folder(labels, tmp_path_factory):
     return path
 
 
+def test_pipeline_drops_recurring_short_lines(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"own line {chr(97 + i)} of text\nAll rights reserved.\nLes.", 0) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    left = {r.doc_id: r.text for r in corpus_pipeline.fewer_lines(spark, docs, "").collect()}
+    assert left[0] == rows[0][1] and all("rights" not in left[i] and "Les." not in left[i] for i in range(1, 6))
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, folder, stage):
     import corpus_pipeline
