@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voteframe.llm import fingerprints, langid, linededup, mixing, neardup, packing, pii, quality, substrings, toxicity
+from voteframe.llm import fingerprints, langid, lexical, linededup, mixing, neardup, packing, pii, quality, substrings, toxicity
 from voteframe.llm.common import key_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,3 +117,8 @@ select doc_id, n_words::bigint as n_words, n_removed::bigint as n_removed, sha25
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_search", lexical.SEARCH_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
