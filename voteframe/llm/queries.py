@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voteframe.llm import fingerprints, langid, lexical, linededup, mixing, neardup, packing, pii, quality, substrings, toxicity, turns
+from voteframe.llm import fingerprints, langid, lexical, licenses, linededup, mixing, neardup, packing, pii, quality, substrings, toxicity, turns
 from voteframe.llm.common import key_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +124,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op12_licenses", licenses.LICENSE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query("op13_prefix_trie", turns.TRIE_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.prefix_trie(table(spark, sf_dir, "conversations"))
