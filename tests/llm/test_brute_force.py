@@ -32,7 +32,7 @@ def texts(docs):
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "labels"):
+    for table in ("documents", "labels", "benchmark", "conversations"):
         con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     want = con.sql(ORACLES[name])
     columns = want.columns
