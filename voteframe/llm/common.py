@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -33,13 +34,15 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a piece holds about ``SLICE_BYTES`` of ``column``, and at least a row."""
+def slices(batches: Iterator[pa.RecordBatch], *columns: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a piece holds about ``most`` bytes of the columns, and at least a row."""
     for batch in batches:
-        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in columns:
+            sizes += pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         start = held = 0
-        for i, size in enumerate(sizes):
-            if i > start and held + size > SLICE_BYTES:
+        for i, size in enumerate(sizes.tolist()):
+            if i > start and held + size > most:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += size

@@ -8,18 +8,22 @@ chosen hash; positions are kept, so that the shared place can be found.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.taskcontext import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voteframe.llm.common import map_arrow, slices
 from voteframe.llm.words import mix, range_hashes
 
 #: Two texts that share a run of ``K + W - 1`` = 19 characters share a chosen hash.
 K, W = 16, 4
+#: Characters of a text that are hashed at once, and bytes of all texts of a slice of rows.
+PIECE, SLICE = 500_000, 500_000
+#: Rows in the sample that places the bounds of a range, for each range.
+SAMPLED = 50
 _BASE = 0x9E3779B97F4A7C15
 U = np.uint64
 
@@ -44,8 +48,26 @@ def winnow(texts: list[str], k: int = K, w: int = W) -> list[tuple[np.ndarray, n
     """Chosen hashes and their character positions for each text, in order of position.
 
     A text shorter than ``k`` is one run; an empty text has none; with fewer than ``w`` runs the
-    smallest of all is chosen.
+    smallest of all is chosen. A long text is worked on in pieces that overlap by a window, so
+    that each window lies in one of them.
     """
+    if all(len(t) <= PIECE for t in texts):
+        return winnow_together(texts, k, w)
+    out = []
+    for text in texts:
+        parts = []
+        for at in range(0, max(len(text), 1), PIECE):
+            piece = text[at : at + PIECE + k + w - 2]
+            if at and len(piece) < k + w - 1:
+                break  # the window at its beginning ended the piece before
+            [(hashes, places)] = winnow_together([piece], k, w)
+            parts.append((hashes, places + at))
+        places, first = np.unique(np.concatenate([p for _, p in parts]), return_index=True)
+        out.append((np.concatenate([h for h, _ in parts])[first], places))
+    return out
+
+
+def winnow_together(texts: list[str], k: int, w: int) -> list[tuple[np.ndarray, np.ndarray]]:
     sizes = np.array([len(t) for t in texts], np.int64)
     off = np.concatenate([[0], np.cumsum(sizes)])
     chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
@@ -99,7 +121,7 @@ def fingerprints(
     key = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", most=SLICE):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             found = winnow(texts, k, w)
             yield pa.RecordBatch.from_arrays(
@@ -116,54 +138,71 @@ def fingerprints(
     return map_arrow(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")), run, schema)
 
 
+def range_number(key: Column, bounds: list[Column]) -> Column:
+    """How many of the ascending bounds are not above the key, found in two steps."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds) - 1) + 1
+    groups = F.array(*[F.array(*bounds[i : i + step]) for i in range(0, len(bounds), step)])
+    reached = F.size(F.filter(groups, lambda g: g[0] <= key))
+    inside = F.size(F.filter(F.get(groups, reached - 1), lambda b: b <= key))
+    return F.when(reached == 0, 0).otherwise((reached - 1) * step + inside)
+
+
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text, next_text``: each row with the text of the next one in descending id order
-    (null ids last, equal ids in order of text); the last row's next is the first.
+    (null ids last, equal ids in order of a hash of the text); the last row's next is the first.
 
-    Rows are dealt out by ranges of the order in one shuffle and walked in place; only the first
-    and the last row of each range meet in a second, small step.
+    Rows are dealt out by ranges of the order in one shuffle and walked in place. The bounds of the
+    ranges are constants, read from a bounded sample of ids and hashes by a first job, so the range
+    of a row is the same wherever it is computed; the first and the last row of each range are
+    looked up apart. There are as many ranges as shuffle partitions, which matters to no result.
     """
     key = dict(docs.dtypes)[id_col]
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    tie = F.xxhash64("text")
+    slim = slim.withColumn("tie", F.xxhash64("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").desc_nulls_last(), tie, F.col("text")]
-    ranged = slim.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
+    place = F.struct("doc_id", "tie")
+    hashed, limit = F.xxhash64("doc_id", "tie"), SAMPLED * parts
+    few = slim.where((hashed.cast("double") / F.lit(2.0**64) + 0.5) * F.lit(float(slim.count())) <= 4.0 * limit)
+    sample = few.orderBy(hashed, "doc_id", "tie").limit(limit).select("doc_id", "tie").orderBy("doc_id", "tie").collect()
+    chosen = list(dict.fromkeys(tuple(sample[i * len(sample) // parts]) for i in range(1, parts) if sample))
+    bounds = [F.struct(F.lit(d).cast(key).alias("doc_id"), F.lit(t).cast("long").alias("tie")) for d, t in chosen]
+    placed = slim.withColumn("part", range_number(place, bounds))
+    order = [F.col("part").desc(), F.col("doc_id").desc_nulls_last(), F.col("tie").desc()]
+    ranged = placed.repartitionByRange(parts, F.col("part").desc()).sortWithinPartitions(*order).select("part", "doc_id", "text")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            rows = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks()
-            if rows.num_rows > 1:
-                here, there = rows.slice(0, rows.num_rows - 1), rows.slice(1)
-                table = pa.table([here.column(0), here.column(1), there.column(1)], names=["doc_id", "text", "next_text"])
-                yield from table.combine_chunks().to_batches()
-            held = rows.slice(rows.num_rows - 1).to_batches()[0]
-
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = last = None
-        for batch in batches:
-            if batch.num_rows:
-                first = batch.slice(0, 1) if first is None else first
-                last = batch.slice(batch.num_rows - 1, 1)
-        if first is not None:
-            at = TaskContext.get().partitionId()
-            for kind, row in enumerate((first, last)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([at]), pa.array([kind]), row.column(0), row.column(1)], ["part", "kind", "doc_id", "text"]
-                )
+            for one in slices([batch], "text", most=SLICE):
+                rows = pa.Table.from_batches([held, one] if held is not None else [one]).combine_chunks()
+                if rows.num_rows > 1:
+                    here, there = rows.slice(0, rows.num_rows - 1), rows.slice(1)
+                    table = pa.table([here.column(1), here.column(2), there.column(2)], names=["doc_id", "text", "next_text"])
+                    same = pa.array(here.column(0).to_numpy() == there.column(0).to_numpy())
+                    yield from table.filter(same).combine_chunks().to_batches()
+                held = rows.slice(rows.num_rows - 1).combine_chunks().to_batches()[0]
 
     inner = map_arrow(ranged, pairs, f"doc_id {key}, text string, next_text string")
-    ends = map_arrow(ranged, edges, f"part long, kind long, doc_id {key}, text string")
-    # Two rows per range: their number is that of the partitions, not of the documents.
-    places = Window.partitionBy(F.lit(0)).orderBy("part", "kind")
-    following = F.coalesce(F.lead("text").over(places), F.first("text").over(places))
-    outer = ends.withColumn("next_text", following).where("kind = 1").select("doc_id", "text", "next_text")
+    # Two rows per range: their number is that of the ranges, not of the documents.
+    ends = placed.groupBy("part").agg(F.max(place).alias("first"), F.min(place).alias("last"))
+    wanted = ends.select("first").union(ends.select("last")).distinct().select(F.col("first.doc_id").alias("d"), F.col("first.tie").alias("t"))
+    texts = slim.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")))
+    texts = texts.groupBy("d", "t").agg(F.min("text").alias("text")).select(place_of("d", "t"), "text")
+    firsts = texts.select(F.col("place").alias("first"), F.col("text").alias("first_text"))
+    lasts = texts.select(F.col("place").alias("last"), F.col("text").alias("text"))
+    both = ends.join(firsts, "first").join(lasts, "last")
+    down = Window.partitionBy(F.lit(0)).orderBy(F.col("part").desc())
+    following = F.coalesce(F.lead("first_text").over(down), F.first("first_text").over(down))
+    outer = both.withColumn("next_text", following).select(F.col("last.doc_id").alias("doc_id"), "text", "next_text")
     return inner.unionByName(outer)
 
 
+def place_of(doc_id: str, tie: str) -> Column:
+    return F.struct(F.col(doc_id).alias("doc_id"), F.col(tie).alias("tie")).alias("place")
+
+
 def compare_with_edits(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = W
 ) -> DataFrame:
@@ -173,7 +212,7 @@ def compare_with_edits(
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", "next_text", most=SLICE):
             texts, follow = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             edited = []
             for text, other in zip(texts, follow):
