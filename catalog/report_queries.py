@@ -38,7 +38,22 @@ def a1_by(spark, sf):
     return rounded(co.pearson(fx.responses(spark, sf), SCORE, "is_correct", ["dataset", "model"]))
 
 
-@query("a1_pearson_p_value")
+def p_sql(r: str, n: str) -> str:
+    """The p-value of r over n pairs by the finite series of Student's t, terms from the gamma function."""
+    v, s, c2 = f"({n} - 2)", f"least(abs({r}), 1)", f"greatest(1 - {r} * {r}, 0)"
+    even = f"{s} * coalesce(list_sum(list_transform(range({v} // 2), lambda k: exp(lgamma(k + 0.5e0) - lgamma(0.5e0) - lgamma(k + 1)) * pow({c2}, k))), 0)"
+    odd = (
+        f"2 / pi() * (asin({s}) + {s} * sqrt({c2}) * coalesce(list_sum(list_transform(range({v} // 2), "
+        f"lambda k: exp(lgamma(k + 1) + lgamma(1.5e0) - lgamma(k + 1.5e0)) * pow({c2}, k))), 0))"
+    )
+    return f"case when {r} is not null and {n} > 2 then 1 - case when {n} % 2 = 0 then {even} else {odd} end end"
+
+
+@query(
+    "a1_pearson_p_value",
+    WITH_Q + ", p as (select count(*) as n, corr(score, cast(is_correct as int)) as r from q) "
+    f"select n, round(r, 6) as r, round({p_sql('r', 'n')}, 6) as p_value from p",
+)
 def a1_p(spark, sf):
     return rounded(co.pearson(fx.quality(spark, sf), "score", "is_correct", with_p=True))
 
@@ -279,7 +294,14 @@ def a14(spark, sf):
     return rounded(by_problem(spark, sf))
 
 
-@query("a14_per_problem_p_value")
+WITH_P = PER_PROBLEM + f", w as (select *, case when value_std = 0 then 1e0 else {p_sql('r', 'n')} end as p_value from p) "
+
+
+@query(
+    "a14_per_problem_p_value",
+    WITH_P + "select problem_id, n, round(accuracy, 6) as accuracy, round(value_mean, 6) as value_mean, "
+    "round(value_std, 6) as value_std, round(r, 6) as r, round(p_value, 6) as p_value from w",
+)
 def a14_p(spark, sf):
     return rounded(by_problem(spark, sf, True))
 
@@ -295,7 +317,12 @@ def a15(spark, sf):
     return rounded(overview.drop("significant", "significant_positive", "significant_negative"))
 
 
-@query("a15_significance_counts")
+@query(
+    "a15_significance_counts",
+    WITH_P + "select count(*) as problems, count(*) filter (where p_value < 0.05) as significant, "
+    "count(*) filter (where p_value < 0.05 and r > 0) as significant_positive, "
+    "count(*) filter (where p_value < 0.05 and r < 0) as significant_negative from w",
+)
 def a15_p(spark, sf):
     overview = co.correlation_overview(by_problem(spark, sf, True))
     return overview.select("problems", "significant", "significant_positive", "significant_negative")

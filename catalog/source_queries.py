@@ -10,7 +10,7 @@ from voteframe import schemas
 from voteframe.functions.text import word_count
 from voteframe.operators import overlap, selection as sel
 from voteframe.session import new_folder
-from voteframe.sources import readers, shards, writers
+from voteframe.sources import positions, readers, shards, writers
 from voteframe.streaming import ingest
 
 PROBLEMS_SQL = "(select distinct problem_id, problem_text, ground_truth from r)"
@@ -39,6 +39,52 @@ def s1_ids(spark, sf):
     return readers.with_default_ids(df, "item_id")
 
 
+def ordered_files(spark, rows, order, kind, suffix=""):
+    """A folder of files that hold the rows in order, without the column of the order."""
+    path = new_folder(spark, "ordered") + suffix
+    ranges = rows.repartitionByRange(4, order).sortWithinPartitions(order).drop(order)
+    writers.write_table(ranges, path, kind)
+    return path
+
+
+@query(
+    "s1_ids_by_position",
+    "select concat('problem_', cast(row_number() over (order by o_orderkey) - 1 as string)) as problem_id, "
+    "concat(o_orderpriority, ' ', cast(o_orderkey as string)) as problem_text, cast(o_custkey as string) as ground_truth from orders",
+)
+def s1_positions(spark, sf):
+    rows = fx.table(spark, sf, "orders").select(
+        "o_orderkey", F.concat("o_orderpriority", F.lit(" "), F.col("o_orderkey").cast("string")).alias("problem"),
+        F.col("o_custkey").cast("string").alias("answer"),
+    )
+    path = ordered_files(spark, rows, "o_orderkey", "json", ".jsonl")
+    return readers.canonical_problems(readers.read_problems(spark, path))
+
+
+@query(
+    "s13_convert_by_position",
+    "select concat('gsm8k_', cast(row_number() over (order by o_orderkey) - 1 as string)) as id, "
+    "o_orderpriority as problem, cast(o_custkey as string) as answer from orders",
+)
+def s13_positions(spark, sf):
+    rows = fx.table(spark, sf, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").alias("question"), F.concat(F.lit("so #### "), F.col("o_custkey").cast("string")).alias("answer")
+    )
+    path = ordered_files(spark, rows, "o_orderkey", "json")
+    lines = positions.read_numbered(spark, path, readers.string_schema("question", "answer"))
+    return readers.convert_gsm8k(lines, "position").drop("full_answer")
+
+
+@query(
+    "p3_shard_by_position",
+    "select o_orderkey, cast((row_number() over (order by o_orderkey) - 1) % 7 as int) as shard from orders",
+)
+def p3_positions(spark, sf):
+    rows = fx.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderkey").alias("place"))
+    table = positions.read_numbered(spark, ordered_files(spark, rows, "place", "parquet"), kind="parquet")
+    return sel.shard(table, 7, "position").select("o_orderkey", "shard")
+
+
 def response_table(spark, sf):
     df = fx.responses(spark, sf)
     given = {f.name: F.col(f.name) for f in schemas.RESPONSES if f.name != "logprobs"}

@@ -249,12 +249,10 @@ def v13(spark, sf):
 # Temperature above 0: the first response whose running share of softmax mass passes a hashed draw.
 @query(
     "v14_softmax_sample",
-    WITH_R + ", s as (select problem_id, response_idx, exp((tail_confidence - max(tail_confidence) over "
-    "(partition by problem_id)) / 2e0) as w from r where tail_confidence is not null), "
-    "c as (select *, sum(w) over (partition by problem_id order by response_idx) as upto, "
-    "sum(w) over (partition by problem_id) as mass, "
-    "cast(cast(concat('0x', substr(md5(concat(problem_id, '|42')), 1, 13)) as bigint) as double) / 4503599627370496e0 as u from s) "
-    "select problem_id, min(response_idx) as response_idx from c where upto > u * mass group by 1",
+    WITH_R + ", s as (select problem_id, response_idx, (cast(cast(concat('0x', substr(md5(concat(problem_id, '|', "
+    "cast(response_idx as string), '|42')), 1, 13)) as bigint) as double) + 0.5e0) / 4503599627370496e0 as u, tail_confidence as c "
+    "from r where tail_confidence is not null) select problem_id, response_idx from s "
+    "qualify row_number() over (partition by problem_id order by c / 2e0 - ln(-ln(u)) desc, response_idx) = 1",
 )
 def v14(spark, sf):
     df = v.softmax_sample(fx.responses(spark, sf), "tail_confidence", 2.0)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voteframe.functions import confidence as cf, logprobs as lp
-from voteframe.functions.probability import correlation_p
+from beta import correlation_p
 from voteframe.operators import scoring as sc, selection as sel
 from voteframe.schemas import SCORE_NAMES
 

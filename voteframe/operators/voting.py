@@ -209,27 +209,19 @@ def softmax_sample(
     key: str = "problem_id", order: str = "response_idx",
 ) -> DataFrame:
     """Per problem: one response drawn with probability softmax(score / temperature); at
-    temperature 0 or below the highest score. The draw is a hash of the problem and the seed."""
-    from voteframe.operators.ordering import null_safe_join, running_totals, sample_key
-
-    scored = df.where(F.col(score).isNotNull()).select(key, order, text, score)
-    if temperature <= 0:
-        rank = F.struct(F.col(score), (-F.col(order)).alias("i"))
-        return scored.groupBy(key).agg(
-            F.max_by(order, rank).alias(order), F.max_by(text, rank).alias(text)
-        )
-    peak = scored.groupBy(key).agg(F.max(score).alias("__peak"))
-    weighed = null_safe_join(scored, peak, [key]).withColumn(
-        "__w", F.exp((F.col(score) - F.col("__peak")) / F.lit(float(temperature)))
-    )
-    mass = weighed.groupBy(key).agg(F.sum("__w").alias("__mass"))
-    draw = F.conv(F.substring(sample_key(key, seed=seed), 1, 13), 16, 10).cast("double") / F.lit(
-        float(16**13)
-    )
-    placed = null_safe_join(running_totals(weighed, [key], order, {"__before": F.col("__w")}), mass, [key])
-    # The last response catches a draw that rounding puts above every running sum.
-    hit = F.col("__before") + F.col("__w") > draw * F.col("__mass")
-    chosen = F.when(hit, F.col(order))
-    position = F.coalesce(F.min(chosen), F.max(order))
-    first = F.struct(hit.alias("h"), (F.when(hit, -F.col(order)).otherwise(F.col(order))).alias("i"))
-    return placed.groupBy(key).agg(position.alias(order), F.max_by(text, first).alias(text))
+    temperature 0 or below the highest score.
+
+    The draw is the largest ``score / temperature + g`` with g a Gumbel variable for each response, made from
+    the hash of problem, position and seed. That has the softmax's probabilities without the sum of the weights,
+    so one aggregation with map-side combine draws for all problems. Responses without a score are not drawn.
+    """
+    from voteframe.operators.ordering import sample_key
+
+    scored = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    value = F.col(score)
+    if temperature > 0:
+        number = F.conv(F.substring(sample_key(key, order, seed=seed), 1, 13), 16, 10).cast("double")
+        uniform = (number + 0.5) / F.lit(float(16**13))
+        value = F.col(score) / F.lit(float(temperature)) - F.ln(-F.ln(uniform))
+    rank = F.struct(value.alias("v"), (-F.col(order)).alias("i"))
+    return scored.groupBy(key).agg(F.max_by(order, rank).alias(order), F.max_by(text, rank).alias(text))

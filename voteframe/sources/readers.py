@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from voteframe import schemas
 from voteframe.functions.text import strip
+from voteframe.sources.positions import numbered
 
 # Fixed value: answers of one benchmark come wrapped in a box without nested braces.
 BOXED_DATASET = "aime24"
@@ -16,14 +17,32 @@ def _suffix(path: str) -> str:
     return path.rstrip("/").rsplit(".", 1)[-1].lower()
 
 
-def read_problems(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines or Parquet by suffix; anything else is refused. Ids default to the position."""
+def read_problems(spark: SparkSession, path: str, default_ids: bool = True) -> DataFrame:
+    """JSON lines or Parquet by suffix; anything else is refused.
+
+    A missing id becomes ``problem_<position in the file>`` (several files in order of path), which
+    takes two more passes, made only if an id is missing; ``default_ids=False`` leaves nulls.
+    """
     kind = _suffix(path)
     if kind == "jsonl":
-        return spark.read.schema(schemas.PROBLEMS).json(path)
-    if kind == "parquet":
-        return spark.read.parquet(path)
-    raise ValueError(f"unsupported problem file: {path}")
+        rows = spark.read.schema(schemas.PROBLEMS).json(path)
+    elif kind == "parquet":
+        rows = spark.read.parquet(path)
+    else:
+        raise ValueError(f"unsupported problem file: {path}")
+    if not default_ids:
+        return rows
+    if "id" not in rows.columns:
+        rows = rows.withColumn("id", F.lit(None).cast("string"))
+    elif rows.where(F.col("id").isNull()).isEmpty():
+        return rows
+    return fill_ids(numbered(rows, "__pos"), "__pos").select(*rows.columns)
+
+
+def fill_ids(df: DataFrame, position: str, prefix: str = "problem_") -> DataFrame:
+    """Fill missing ids with the prefix and the position."""
+    default = F.concat(F.lit(prefix), F.col(position).cast("string"))
+    return df.withColumn("id", F.coalesce(F.col("id").cast("string"), default))
 
 
 def canonical_problems(df: DataFrame) -> DataFrame:
@@ -39,9 +58,7 @@ def with_default_ids(df: DataFrame, order: str, prefix: str = "problem_") -> Dat
     """Fill missing ids with ``problem_<position in order>``."""
     from voteframe.operators.ordering import row_numbers
 
-    placed = row_numbers(df, [], order, "__pos")
-    default = F.concat(F.lit(prefix), F.col("__pos").cast("string"))
-    return placed.withColumn("id", F.coalesce(F.col("id").cast("string"), default)).drop("__pos")
+    return fill_ids(row_numbers(df, [], order, "__pos"), "__pos", prefix).drop("__pos")
 
 
 def read_responses(spark: SparkSession, path: str, problem_id: str | None = None) -> DataFrame:

@@ -6,11 +6,12 @@ import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from voteframe.operators.scoring import score_responses
+from voteframe.session import cut_lineage
+from voteframe.streaming.known_keys import BUCKETS, WORDS, KnownKeys
 
 
 def response_stream(
@@ -52,37 +53,38 @@ def stream_ingest_responses(
 
 def ingest_new(
     rows: DataFrame, out: str, checkpoint: str, key: str = "response_id",
-    on_batch: Callable[[int, int, int], None] | None = None,
+    on_batch: Callable[[int, int, int], None] | None = None, buckets: int = BUCKETS, words: int = WORDS,
 ) -> StreamingQuery:
-    """Append only rows whose key the target table does not have yet.
+    """Append only rows whose key the target table does not have yet; one stream at a time.
 
     The known keys live in the target table, not in stream state, so state does not grow with the
-    stream. Each batch writes its own ``batch`` partition (named after the checkpoint and the batch
-    number) and replaces it on a retry, so a batch that is run again neither loses nor repeats rows.
+    stream. The target is partitioned by ``bucket``, a hash of the key, and each bucket has a Bloom filter
+    beside the table (``known_keys``). A batch looks its keys up in the filters of the buckets that it touches;
+    only for keys that may be known the target is read, and of it only their buckets. ``buckets`` and ``words``
+    belong to a target and must stay the same; more keys than about ten bits of filter each
+    (``buckets * words * 64`` bits in all) make the filters less selective, never wrong.
+
+    Each batch writes its own ``batch`` partitions (named after the checkpoint and the batch
+    number) and replaces them on a retry, so a batch that is run again neither loses nor repeats rows.
     ``on_batch`` gets (batch number, appended, skipped).
     """
     source = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+    keys = KnownKeys(out, key, buckets, words)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         tag = f"{source}-{batch_id}"
         row = F.struct("*")
         # Of several rows with one key, the same one on every attempt.
         fresh = batch.groupBy(key).agg(F.min_by(row, F.md5(F.to_json(row))).alias("__row")).select("__row.*")
-        try:
-            known = spark.read.option("mergeSchema", "false").parquet(out)
-            known = known.where(F.col("batch") != tag).select(key)
-            fresh = fresh.join(known, key, "left_anti")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":  # the first batch has no target yet
-                raise
+        fresh = cut_lineage(fresh, "fresh")
+        new = keys.without_known(fresh, tag)
         (
-            fresh.withColumn("batch", F.lit(tag)).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+            keys.placed(new).withColumn("batch", F.lit(tag)).repartition("bucket").write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(out)
         )
+        keys.remember(new, tag)
         if on_batch:
-            received = batch.count()
-            appended = spark.read.parquet(out).where(F.col("batch") == tag).count()
+            received, appended = batch.count(), new.count()
             on_batch(batch_id, appended, received - appended)
 
     return (
