@@ -482,7 +482,7 @@ def r3(spark, sf):
     out = new_folder(spark, "unique")
     for _ in range(2):  # a second stream brings the same responses again
         rows = event_stream(spark, sf).select("response_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"))
-        ingest.ingest_new(rows, out, new_folder(spark, "mark")).awaitTermination()
+        ingest.ingest_new(rows, out, new_folder(spark, "mark"), buckets=16).awaitTermination()
     return spark.read.parquet(out).groupBy("response_id").agg(F.count(F.lit(1)).alias("copies"))
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from voteframe.functions.probability import p_value
 from voteframe.operators.distributions import present
 from voteframe.operators.ordering import average_ranks, sample_key
+from voteframe.operators.pair_correlations import centred_ranks, pair_correlations, rho, safe_corr, two_valued_rho
+from voteframe.session import cut_lineage
 
 # Thresholds of the per-problem correlation overview.
 STRONG = 0.3
@@ -16,16 +18,6 @@ WEAK = 0.1
 SIGNIFICANT = 0.05
 
 
-def safe_corr(x: Column, y: Column) -> Column:
-    """Pearson coefficient as an aggregate; null instead of an error for a constant side."""
-    both = x.isNotNull() & y.isNotNull()
-    sx, sy = F.stddev_pop(F.when(both, x)), F.stddev_pop(F.when(both, y))
-    varied = (F.min(F.when(both, x)) < F.max(F.when(both, x))) & (
-        F.min(F.when(both, y)) < F.max(F.when(both, y))
-    )
-    return F.when(varied, F.try_divide(F.covar_pop(x, y), sx * sy))
-
-
 def _pair(df: DataFrame, x: str, y: str) -> DataFrame:
     ready = present(x) & present(y)
     return df.withColumns(
@@ -53,23 +45,27 @@ def spearman(
 ) -> DataFrame:
     """Pearson correlation of average ranks.
 
-    Rows are first counted per distinct (x, y); ranks come from those counts and are centred, so the
-    coefficient needs only three sums. ``keys`` name few, large groups (a metric, a dataset).
+    Rows are first counted per distinct value; ranks come from those counts and are centred, so the
+    coefficient needs only three sums. A boolean ``y`` isn't ranked: the counts of x say how many of the rows
+    are true. ``keys`` name few, large groups (a metric, a dataset).
     """
     keys = list(keys)
-    if dict(df.dtypes)[y] == "boolean":
-        df = df.withColumn(y, F.col(y).cast("int"))
+    two_valued = dict(df.dtypes)[y] == "boolean"
     rows = _pair(df, x, y).where(F.col("__x").isNotNull()).select(*keys, "__x", "__y")
-    cells = rows.groupBy(*keys, "__x", "__y").agg(F.count(F.lit(1)).alias("__n"))
-    rx = average_ranks(cells, "__x", keys, "__rx", chunk="always", weight="__n")
-    ry = average_ranks(cells, "__y", keys, "__ry", chunk="always", weight="__n")
-    placed = cells.join(rx, [*keys, "__x"]).join(ry, [*keys, "__y"])
-    n, a, b = F.col("__n"), F.col("__rx"), F.col("__ry")
-    scale = F.sqrt(F.sum(n * a * a)) * F.sqrt(F.sum(n * b * b))
-    out = placed.groupBy(*keys).agg(
-        F.sum(n).alias("n"),
-        F.when(scale > 0, F.try_divide(F.sum(n * a * b), scale)).alias("rho"),
-    )
+    n = F.col("__n")
+    if two_valued:
+        cells = rows.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n"), F.sum("__y").alias("__ones"))
+        placed = centred_ranks(cut_lineage(cells, "cells"), keys, "__x", "__n")
+        rank = F.col("__rank")
+        coefficient = two_valued_rho(F.sum(n), F.sum("__ones"), F.sum(F.col("__ones") * rank), F.sum(n * rank * rank))
+    else:
+        cells = rows.groupBy(*keys, "__x", "__y").agg(F.count(F.lit(1)).alias("__n"))
+        rx = average_ranks(cells, "__x", keys, "__rx", chunk="always", weight="__n")
+        ry = average_ranks(cells, "__y", keys, "__ry", chunk="always", weight="__n")
+        placed = cells.join(rx, [*keys, "__x"]).join(ry, [*keys, "__y"])
+        a, b = F.col("__rx"), F.col("__ry")
+        coefficient = rho(F.sum(n * a * b), F.sum(n * a * a), F.sum(n * b * b))
+    out = placed.groupBy(*keys).agg(F.sum(n).alias("n"), coefficient.alias("rho"))
     return out.withColumn("p_value", p_value(F.col("rho"), F.col("n"))) if with_p else out
 
 
@@ -77,30 +73,14 @@ def correlation_matrix(
     df: DataFrame, scores: Sequence[str], tokens: str, correct: str, with_p: bool = False
 ) -> DataFrame:
     """Pearson and Spearman of tokens and every score with correctness, and of every score with
-    tokens, in long form. A pair with at most one row or a constant first column is left out."""
-    base = df.withColumns(
-        {"__correct": F.col(correct).cast("double"), "__tokens": F.col(tokens).cast("double")}
-    )
-    pairs = [(tokens, "__tokens", "accuracy", "__correct")]
-    pairs += [(s, s, "accuracy", "__correct") for s in scores]
-    pairs += [(s, s, "tokens", "__tokens") for s in scores]
-    items = [
-        F.struct(
-            F.lit(name).alias("x"), F.lit(target).alias("y"),
-            F.col(xc).cast("double").alias("vx"), F.col(yc).alias("vy"),
-        )
-        for name, xc, target, yc in pairs
-    ]
-    # One row per pair and per distinct pair of values; every pair is ranked in the same plan.
-    long = base.select(F.inline(F.array(*items))).where(present("vx") & present("vy"))
-    varied = long.groupBy("x", "y").agg(
-        F.count(F.lit(1)).alias("n"), F.min("vx").alias("lo"), F.max("vx").alias("hi"),
-        safe_corr(F.col("vx"), F.col("vy")).alias("pearson"),
-    ).where((F.col("n") > 1) & (F.col("lo") < F.col("hi"))).drop("lo", "hi")
-    ranks = spearman(long, "vx", "vy", ["x", "y"]).select(
-        "x", "y", F.col("rho").alias("spearman")
-    )
-    out = varied.join(ranks, ["x", "y"], "left")
+    tokens, in long form. A pair with at most one row or a constant first column is left out. All
+    pairs share one ranking of the columns."""
+    grade = "__accuracy"
+    columns = {s: F.col(s) for s in scores} | {tokens: F.col(tokens), grade: F.col(correct)}
+    pairs = [(c, grade) for c in (tokens, *scores)] + [(s, tokens) for s in scores]
+    two = [grade] if dict(df.dtypes)[correct] == "boolean" else []
+    found = pair_correlations(df, columns, pairs, two).where("n > 1 and varied").drop("varied")
+    out = found.withColumn("y", F.when(F.col("y") == grade, "accuracy").otherwise("tokens"))
     if with_p:
         out = out.withColumns(
             {

@@ -11,9 +11,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from voteframe.operators.correlation import pearson, spearman
+from voteframe.functions.probability import p_value
 from voteframe.operators.distributions import QUARTILES, accuracy_by_percentile, present
 from voteframe.operators.ordering import HOT_ROWS, exact_percentiles, ranked
+from voteframe.operators.pair_correlations import pair_correlations
 from voteframe.session import cut_lineage
 
 # Starting percents of the slices.
@@ -49,22 +50,18 @@ def within_problem_deltas(
 
 
 def delta_correlations(deltas: DataFrame, correct: str, with_p: bool = False) -> DataFrame:
-    """Pearson and Spearman of score delta, token delta and correctness, pair by pair."""
-    graded = deltas.select(
-        "score_delta", "token_delta", F.col(correct).cast("double").alias("correct")
-    )
+    """Pearson and Spearman of score delta, token delta and correctness, pair by pair, from one
+    ranking of both deltas."""
+    columns = {"score_delta": F.col("score_delta"), "token_delta": F.col("token_delta"), "correct": F.col(correct)}
     pairs = [("score_delta", "correct"), ("token_delta", "correct"), ("score_delta", "token_delta")]
-    items = [
-        F.struct(F.lit(f"{a}_vs_{b}").alias("pair"), F.col(a).alias("x"), F.col(b).alias("y"))
-        for a, b in pairs
-    ]
-    long = graded.select(F.inline(F.array(*items)))
-    r = pearson(long, "x", "y", ["pair"], with_p)
-    rho = spearman(long, "x", "y", ["pair"], with_p).drop("n")
+    two = ["correct"] if dict(deltas.dtypes)[correct] == "boolean" else []
+    found = pair_correlations(deltas, columns, pairs, two)
+    r, rho, n = F.col("pearson"), F.col("spearman"), F.col("n")
+    shown = [F.concat_ws("_vs_", "x", "y").alias("pair"), n, r.alias("r"), rho.alias("rho")]
     if with_p:
-        r = r.withColumnRenamed("p_value", "r_p")
-        rho = rho.withColumnRenamed("p_value", "rho_p")
-    return r.join(rho, "pair", "left")
+        shown[3:3] = [p_value(r, n).alias("r_p")]
+        shown += [p_value(rho, n).alias("rho_p")]
+    return found.select(*shown)
 
 
 def delta_quartile_accuracy(deltas: DataFrame, delta: str, correct: str) -> DataFrame:

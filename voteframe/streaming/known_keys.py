@@ -16,8 +16,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
-#: Partitions of a target, and filter words of each: a thousand million bits.
-BUCKETS, WORDS = 256, 1 << 16
+#: Partitions of a target, and filter words of each: 268 million bits in all.
+BUCKETS, WORDS = 64, 1 << 16
 #: Batches whose words are read one by one before they are folded.
 FOLD = 32
 _FILTER = "bucket int, word int, bits bigint"
