@@ -16,7 +16,9 @@ keys and chunks are null-safe, so what a group's size decides is the plan and ne
 ``chunk='auto'`` first runs one small job that counts rows per key (combined on the map side). If no
 key exceeds ``hot_rows`` the plan is a plain window; otherwise the oversized keys are chunked.
 ``chunk='always'`` skips the check where groups are known to be few and large, for example one
-group per metric or set size. Without keys the whole table is one group and always chunked.
+group per metric or set size; ``chunk='never'`` where no group is oversized. Without keys the whole
+table is one group and always chunked. Percentiles of oversized groups are found by radix selection
+instead (``selection_by_radix``).
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from voteframe.operators.selection_by_radix import found_in, places, select_places
+
 HOT_ROWS = 1_000_000
 FINEST = 8192  # buckets per factor of e on a large cluster
 EVEN = 16  # equal buckets of a narrow range, for each bucket per factor of e
@@ -136,8 +140,8 @@ def running_totals(
     keys = list(keys)
     before = lambda *part: Window.partitionBy(*part).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)
-    if keys and chunk == "auto":
-        hot = oversized(df, keys, hot_rows)
+    if keys and chunk in ("auto", "never"):
+        hot = oversized(df, keys, hot_rows) if chunk == "auto" else None
         if hot is None:
             w = before(*keys).orderBy(order)
             added = {n: F.coalesce(F.sum(c).over(w), zero) for n, c in measures.items()}
@@ -253,23 +257,41 @@ def exact_percentiles(
 ) -> DataFrame:
     """Array of linearly interpolated percentiles per key (one row in all without keys).
 
-    Exact, and without holding a group's values in one buffer: the two neighbouring order
-    statistics of each fraction are found among the counted distinct values. ``weight`` names a
-    column of counts if the input is already counted.
+    Exact, and without holding a group's values in one buffer. Groups of up to ``hot_rows`` rows are
+    read off their counted distinct values in a window; larger ones, and a whole table, by radix selection.
+    ``weight`` names a column of counts if the input is already counted.
     """
-    cells = value_counts(df, keys, value, hot_rows, chunk, weight)
-    last = F.col("__below_total") - F.lit(1)
-    picks, build = [], []
-    for i, fraction in enumerate(fractions):
-        place = last * F.lit(float(fraction))
-        for side, at in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            covers = (F.col("__below") <= at) & (at < F.col("__below") + F.col("__n"))
-            picks.append(F.max(F.when(covers, F.col(value).cast("double"))).alias(f"__{side}{i}"))
-        part = F.col("__place")[i] - F.floor(F.col("__place")[i])
-        build.append(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * part)
-    places = F.array(*[F.max(last) * F.lit(float(f)) for f in fractions]).alias("__place")
-    picked = cells.groupBy(*keys).agg(*picks, places)
-    return picked.select(*keys, F.array(*build).alias(name))
+    keys = list(keys)
+    if not keys or chunk == "always":
+        return _interpolated(select_places(df, value, fractions, keys, weight), fractions, keys, name)
+    hot = oversized(df, keys, hot_rows)
+    if hot is None:
+        return _window_percentiles(df, value, fractions, keys, name, weight)
+    large, rest = (null_safe_join(df, hot, keys, how) for how in ("left_semi", "left_anti"))
+    found = _interpolated(select_places(large, value, fractions, keys, weight), fractions, keys, name)
+    return found.unionByName(_window_percentiles(rest, value, fractions, keys, name, weight))
+
+
+def _interpolated(picked: DataFrame, fractions: Sequence[float], keys: list[str], name: str) -> DataFrame:
+    last = F.max("__total") - F.lit(1)
+    at = [F.max(F.when(F.col("__t") == t, F.col("__value"))).alias(f"__v{t}") for t in range(2 * len(fractions))]
+    rows = picked.groupBy(*keys).agg(*at, F.array(*[last * F.lit(float(f)) for f in fractions]).alias("__place"))
+    return rows.select(*keys, F.array(*[
+        F.col(f"__v{2 * i}") + (F.col(f"__v{2 * i + 1}") - F.col(f"__v{2 * i}")) * (F.col("__place")[i] - F.floor(F.col("__place")[i]))
+        for i in range(len(fractions))
+    ]).alias(name))
+
+
+def _window_percentiles(
+    df: DataFrame, value: str, fractions: Sequence[float], keys: list[str], name: str, weight: str | None
+) -> DataFrame:
+    """The two neighbouring order statistics of each fraction among the counted distinct values."""
+    cells = value_counts(df, keys, value, chunk="never", weight=weight)
+    inside = found_in(cells, places(F.col("__below_total"), fractions))
+    picked = inside.select(
+        *keys, F.col(value).cast("double").alias("__value"), F.col("__below_total").alias("__total"), F.explode("__found").alias("p")
+    )
+    return _interpolated(picked.withColumn("__t", F.col("p.t")), fractions, keys, name)
 
 
 def average_ranks(
