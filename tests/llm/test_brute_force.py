@@ -233,7 +233,18 @@ def test_line_templates(spark):
     rows = [(i, f"intro {chr(97 + i)} of its own\njob {i} finished after {i * 7} seconds on host {'abcdefgh'[i]}\nshort {i}") for i in range(8)]
     out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     left = {r.doc_id: r.text for r in out}
-    assert "finished" in left[0] and all("finished" not in left[i] and f"short {i}" in left[i] for i in range(1, 8))
+    assert left[0] == rows[0][1] and all(left[i] == rows[i][1].split("\n")[0] for i in range(1, 8))
+
+
+def test_lines_of_one_document_do_not_recur(spark):
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    log = "\n".join(f"status of node {w} is ok today" for w in words)
+    rows = [(1, log), (2, "a line of its own"), (3, log), (3, None)]
+    left = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows[:3], "doc_id long, text string")).collect()}
+    assert left == dict(rows[:3])
+    many = [(i, f"status of node {w} is ok today") for i, w in enumerate(words)] + [(9, log)]
+    left = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(many, "doc_id long, text string")).collect()}
+    assert left[0] == many[0][1] and all(left[i] == "" for i in (1, 2, 3, 4, 9))
 
 
 def test_quality_counts(spark, docs, texts):

@@ -4,7 +4,7 @@ Tokens with a digit are variable fields and are masked. A line's leaf in the tre
 tokens and its leading tokens. The most frequent masked line of a leaf is its template; another line
 of the leaf belongs to it if enough tokens at the same places are equal, and the places that differ
 are further variable fields; else the masked line is a template of its own. Lines of a template that
-recurs across documents are dropped, all but the first.
+recurs across documents, that is in enough different ones, are dropped, all but the first.
 
 Everything is DataFrame operations. Lines are shuffled as hashes; text moves once to compare
 lines of a leaf, and once to apply the marks to the documents.
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from voteframe.session import cut_lineage
 
 MIN_DOCS = 5
-MIN_TOKENS = 4
+MIN_TOKENS = 1
 LEADING = 3
 SIMILARITY = 0.7
 BLANKS = " \t\n\f\r"
@@ -76,8 +76,16 @@ def recurring_lines(
     equal = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: a == b), lambda x: x))
     joined = tokens.join(seeds, "leaf").where(equal >= F.lit(similarity) * F.size("tokens")).select("line", F.lit(True).alias("joins"))
     named = shared.join(joined, "line", "left").withColumn("template", F.when(F.col("joins"), F.col("seed")).otherwise(F.col("line")))
-    templates = named.groupBy("leaf", "template").agg(F.sum("docs").alias("docs"), F.min("first").alias("first"))
-    often = templates.where(F.col("docs") >= min_docs).select("leaf", "template", F.col("first").alias("kept"))
+    templates = named.groupBy("leaf", "template").agg(
+        F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("lines"), F.min("first").alias("kept")
+    ).where(F.col("docs") >= min_docs)
+    # A document may hold several masked lines of a template: then documents are counted, not lines.
+    several = named.join(templates.where("lines > 1").select("leaf", "template"), ["leaf", "template"]).select("line", "template")
+    holding = held.join(several, "line").groupBy("leaf", "template", "doc_id").agg(F.lit(1).alias("one"))
+    enough = holding.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
+    often = templates.where("lines = 1").select("leaf", "template", "kept").unionByName(
+        templates.drop("docs", "lines").join(enough.select("leaf", "template"), ["leaf", "template"])
+    )
     dropped = named.select("line", "leaf", "template").join(often, ["leaf", "template"]).select("line", "kept")
     marks = held.join(dropped, "line")
     is_first = F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.pos") == F.col("pos"))
@@ -90,8 +98,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents, all columns, without recurring lines, and ``__lines`` and ``__dropped``: the
     numbers of lines before and of lines dropped.
 
-    A template recurs if the numbers of documents that hold each of its masked lines sum to
-    ``min_docs``. Lines of fewer than ``min_tokens`` tokens stay. Of a template the line in the
+    A template recurs if ``min_docs`` different documents hold one of its lines. Lines without a token
+    stay, and with ``min_tokens`` those of fewer tokens. Of a template the line in the
     smallest document (null ids last), at the smallest position, stays. Rows that share an id are
     one document. A null text stays null, with no lines; an empty text has one empty line.
     """
@@ -116,7 +124,7 @@ lines as (select doc_id, i - 1 as pos, parts[i] as line,
     regexp_replace(regexp_replace(parts[i], '^\s+|\s+$', '', 'g'), '\S*\d\S*', '<*>', 'g') as masked
   from (select doc_id, parts, unnest(range(1, len(parts) + 1)) as i from raw)),
 parsed as (select *, regexp_extract_all(masked, '\S+') as tokens from lines),
-leafed as (select *, len(tokens) as n, array_to_string(tokens[1:3], ' ') as head from parsed where len(tokens) >= 4),
+leafed as (select *, len(tokens) as n, array_to_string(tokens[1:3], ' ') as head from parsed where len(tokens) >= 1),
 held as (select doc_id, masked, n, head, any_value(tokens) as tokens, min(pos) as pos from leafed group by doc_id, masked, n, head),
 variants as (select masked, n, head, any_value(tokens) as tokens, count(*) as docs, min(row(doc_id, pos)) as first from held group by masked, n, head),
 ranked as (select *, sum(docs) over (partition by n, head) as total,
@@ -124,7 +132,7 @@ ranked as (select *, sum(docs) over (partition by n, head) as total,
   from variants window w as (partition by n, head order by docs desc, first)),
 named as (select *, case when len(list_filter(range(1, n + 1), lambda i: tokens[i] = template[i])) >= 0.7 * n then seed else masked end as name
   from ranked where total >= 5),
-often as (select n, head, name, min(first) as kept from named group by all having sum(docs) >= 5),
+often as (select n, head, name, min(first) as kept from named join held using (masked, n, head) group by n, head, name having count(distinct doc_id) >= 5),
 marks as (select named.masked, often.kept from named join often using (n, head, name)),
 judged as (select lines.doc_id, lines.pos, lines.line, marks.masked is not null
     and not (row(lines.doc_id, lines.pos) = marks.kept) as dropped
