@@ -21,33 +21,31 @@ MIN_TOKENS = 1
 LEADING = 3
 SIMILARITY = 0.7
 BLANKS = " \t\n\f\r"
-_TOKEN = f"[^{BLANKS}]++"
 _GAP = f"[{BLANKS}]++"
 #: A token with a digit, from its start; possessive, so that long tokens take linear time.
 _FIELD = f"(?<![^{BLANKS}])[^{BLANKS}0-9]*+[0-9][^{BLANKS}]*+"
 
 
-def masked(line: Column) -> Column:
-    """The line without outer blanks, its tokens with digits masked."""
-    plain = F.btrim(line, F.lit(BLANKS))
+def masked(plain: Column) -> Column:
+    """A line that has no outer blanks, its tokens with digits masked."""
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, _FIELD, "<*>")).otherwise(plain)
 
 
+def trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANKS))
+
+
 def line_hash(line: Column) -> Column:
-    return F.xxhash64(masked(line))
+    return F.xxhash64(masked(trimmed(line)))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, pos, masked, n_tokens`` for every line of at least one token."""
+    """``doc_id, pos, masked`` for every line of at least one token."""
     split = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(split).alias("pos", "line"))
-    rows = rows.select("doc_id", "pos", masked(F.col("line")).alias("masked"))
-    return rows.withColumn("n_tokens", F.regexp_count("masked", F.lit(_TOKEN)))
-
-
-def leaf_of(text: Column, n_tokens: Column, leading: int) -> Column:
-    head = F.regexp_extract(text, f"^(?:{_TOKEN}{_GAP}){{0,{leading - 1}}}{_TOKEN}", 0)
-    return F.xxhash64(n_tokens, head)
+    # Only the trimming is done again by the filter, which Spark moves down; masking is done once.
+    rows = rows.select("doc_id", "pos", trimmed(F.col("line")).alias("plain")).where("plain <> ''")
+    return rows.select("doc_id", "pos", masked(F.col("plain")).alias("masked"))
 
 
 def recurring_lines(
@@ -56,10 +54,12 @@ def recurring_lines(
 ) -> DataFrame:
     """``doc_id, drop, keep``: hashes of the masked lines to drop in a document, and the positions
     of the lines that stay because they are the first of their template."""
-    lines = lines_of(docs, id_col, text_col).where(F.col("n_tokens") >= min_tokens)
-    lines = lines.withColumn("leaf", leaf_of(F.col("masked"), F.col("n_tokens"), leading))
-    lines = lines.withColumn("line", F.xxhash64("masked"))
-    held = cut_lineage(lines.groupBy("doc_id", "line", "leaf").agg(F.min("pos").alias("pos")), "lines")
+    lines = lines_of(docs, id_col, text_col)
+    placed = lines.select("doc_id", "pos", F.xxhash64("masked").alias("line"), F.split("masked", _GAP).alias("tokens"))
+    if min_tokens > 1:
+        placed = placed.where(F.size("tokens") >= min_tokens)
+    placed = placed.select("doc_id", "pos", "line", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, leading)).alias("leaf"))
+    held = cut_lineage(placed.groupBy("doc_id", "line", "leaf").agg(F.min("pos").alias("pos")), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "pos")
     variants = held.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.min(place).alias("first"))
     leaves = variants.groupBy("leaf").agg(
@@ -68,7 +68,7 @@ def recurring_lines(
     ).where(F.col("all") >= min_docs)
     shared = cut_lineage(variants.join(leaves, "leaf"), "variants")
     mixed = shared.where("variants > 1").select("line", "leaf", "seed")
-    texts = lines.select("line", "masked").join(mixed.select("line"), "line", "left_semi")
+    texts = lines.select(F.xxhash64("masked").alias("line"), "masked").join(mixed.select("line"), "line", "left_semi")
     texts = texts.groupBy("line").agg(F.first("masked").alias("masked"))
     tokens = mixed.join(texts, "line").withColumn("tokens", F.split("masked", _GAP)).drop("masked")
     tokens = cut_lineage(tokens, "templates")
