@@ -148,3 +148,38 @@ def test_a_stream_appends_new_keys_only(spark, tmp_path):
         ingest.ingest_new(rows, out, str(tmp_path / "mark"), on_batch=lambda *x: seen.append(x), buckets=8).awaitTermination()
     assert seen == [(0, 30, 30), (1, 30, 50), (2, 0, 120)]
     assert spark.read.parquet(out).count() == 60
+
+
+def test_progress_keeps_two_tables_whatever_the_number_of_batches(spark, tmp_path):
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    counted = []
+    for k in range(5):
+        ids = [f"w{k % 2}"] * (k + 1) + (["w9"] if k == 0 else [])
+        (source / f"{k}.json").write_text("\n".join(json.dumps({"worker_replica": w}) for w in ids) + "\n")
+        rows = ingest.response_stream(spark, str(source), spark.createDataFrame([], "worker_replica string").schema)
+        ingest.stream_progress(rows, str(out), str(tmp_path / "mark")).awaitTermination()
+        counted.append({r.worker_replica: r.finished for r in ingest.latest_progress(spark, str(out)).collect()})
+    assert counted[0] == {"w0": 1, "w9": 1} and counted[-1] == {"w0": 9, "w1": 6, "w9": 1}
+    assert len(list(out.rglob("part-*"))) == 2
+
+
+def test_listener_reports_received_appended_and_skipped_rows(spark, tmp_path):
+    import time
+
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.json").write_text("\n".join(json.dumps({"response_id": f"r{i % 7}", "n": i}) for i in range(20)) + "\n")
+    listener = ingest.IngestListener()
+    spark.streams.addListener(listener)
+    try:
+        rows = ingest.response_stream(spark, str(source), batch(spark, [1]).schema)
+        ingest.ingest_new(rows, str(tmp_path / "out"), str(tmp_path / "mark"), on_batch=listener.noted, buckets=4).awaitTermination()
+        for _ in range(100):
+            if listener.received:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert listener.written == {0: (7, 13)}
+    assert [k[1] for k in listener.received] == [0] and min(listener.received.values()) >= 20

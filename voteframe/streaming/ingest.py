@@ -7,11 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from voteframe.operators.scoring import score_responses
 from voteframe.session import cut_lineage
-from voteframe.streaming.known_keys import BUCKETS, WORDS, KnownKeys
+from voteframe.streaming.known_keys import BUCKETS, WORDS, KnownKeys, stored
 
 
 def response_stream(
@@ -98,24 +99,71 @@ def dedupe_stateful(rows: DataFrame, key: str = "response_id") -> DataFrame:
     return rows.dropDuplicates([key])
 
 
+PROGRESS = "worker_replica string, finished bigint, batch bigint"
+
+
 def stream_progress(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Running number of finished responses per replica. Every batch replaces the counts it
-    changes: it writes the full table (one row per replica) as its own ``batch`` partition."""
+    """Running number of finished responses per replica.
+
+    A batch hands over only the counts that it changes; they are merged with the table of the batch
+    before. There are two tables, written in turn, so a batch that fails while it writes leaves the
+    other one whole, and the number of files does not grow with the batches.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch").parquet(out)
+        merged = batch.withColumn("batch", F.lit(batch_id).cast("bigint"))
+        before = stored(batch.sparkSession, f"{out}/slot={(batch_id - 1) % 2}", PROGRESS) if batch_id else None
+        if before is not None:
+            merged = merged.unionByName(before)
+        # Counts only grow, so the larger one is the later one.
+        table = merged.groupBy("worker_replica").agg(F.max("finished").alias("finished"))
+        table = table.withColumn("batch", F.lit(batch_id).cast("bigint")).coalesce(1)
+        table.write.mode("overwrite").parquet(f"{out}/slot={batch_id % 2}")
 
     counts = rows.groupBy("worker_replica").agg(F.count(F.lit(1)).alias("finished"))
     return (
-        counts.writeStream.outputMode("complete").foreachBatch(write)
+        counts.writeStream.outputMode("update").foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
 def latest_progress(spark: SparkSession, out: str) -> DataFrame:
     """The counts of the last batch."""
-    df = spark.read.parquet(out)
+    df = spark.read.schema(PROGRESS).parquet(f"{out}/slot=*")
     last = df.agg(F.max("batch")).scalar()
     return df.where(F.col("batch") == last).drop("batch")
+
+
+class IngestListener(StreamingQueryListener):
+    """What each batch of the session's streams received, by query and batch, and how much of it was appended.
+
+    Received rows come from Spark's progress events; ``ingest_new`` tells the rest, batch by batch, to what
+    ``noted`` returns. Add it with ``spark.streams.addListener``; ``report`` is called with every
+    progress event's query name, batch number and received rows.
+    """
+
+    def __init__(self, report: Callable[[str | None, int, int], None] | None = None) -> None:
+        self.report = report
+        self.received: dict[tuple[str | None, int], int] = {}
+        self.written: dict[int, tuple[int, int]] = {}
+
+    def noted(self, batch_id: int, appended: int, skipped: int) -> None:
+        """For ``on_batch`` of ``ingest_new``."""
+        self.written[batch_id] = (appended, skipped)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        # A batch may report again when it has nothing to read; its rows are those of its run.
+        key = (progress.name, progress.batchId)
+        self.received[key] = max(progress.numInputRows, self.received.get(key, 0))
+        if self.report:
+            self.report(progress.name, progress.batchId, progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
