@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +27,29 @@ def build_session(app: str = "voteframe", master: str | None = None, **conf: str
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> bool:
+    """Send this package to the Python workers, unless they find it by themselves: an installed
+    package, ``PYTHONPATH``, or a local session started beside it. Whether it was sent."""
+    package = Path(__file__).resolve().parent
+    root = package.parent
+    known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    beside = Path.cwd() == root and spark.sparkContext.master.startswith("local")
+    if root in known or beside or root.name in ("site-packages", "dist-packages"):
+        return False
+    if any(Path(f).name.startswith("voteframe-") for f in spark.sparkContext.listFiles):
+        return True
+    # Spark copies the archive to all executors; only the driver reads this path.
+    archive = Path(tempfile.mkdtemp(prefix="voteframe-zip-")) / f"voteframe-{uuid.uuid4().hex[:8]}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    return True
 
 
 def work_dir(spark: SparkSession) -> str:
