@@ -89,7 +89,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_surrogates")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.surrogates(table(spark, sf_dir, "documents"))
-    kinds = [F.coalesce(F.col("kinds")[k], F.lit(0)).alias(f"n_{k}") for k in pii.PATTERNS]
+    kinds = [F.coalesce(F.col("kinds")[k], F.lit(0)).alias(f"n_{k}") for k in pii.KINDS]
     return out.select("doc_id", "n_entities", *kinds, "text")
 
 
