@@ -149,7 +149,7 @@ TUMBLING = (
 def c10(spark, sf):
     df = fx.tokens(spark, sf)
     filled = F.filter("logprobs", lambda t: F.size(t) > 0)
-    scores = cf.tumbling_confidence(lp.token_confidence(filled), 4)
+    scores = cf.tumbling_confidence(filled, 4)
     return rounded(df.withColumn("s", scores).select("response_id", "s.*"))
 
 

@@ -207,6 +207,52 @@ def g3_distinct(spark, sf):
     return og.grade_distinct(_numbers(spark, sf), g.equivalent).select("o_orderkey", "is_correct")
 
 
+# Prices in hundredths or, in forms 3 and 4, in three-hundredths, in seven notations of one number.
+FORMS = (
+    "select o_orderkey, o_custkey, cast(o_orderkey % 7 as int) as form, cast(floor(o_totalprice * 100) as bigint) as cents, "
+    "cast(case when o_orderkey % 7 in (3, 4) then 300 else 100 end as bigint) as parts from orders"
+)
+# The same numbers by arithmetic: a decimal of 18 places without its zeros, or the reduced fraction.
+FORM_SQL = (
+    f"with f as ({FORMS}), g as (select *, gcd(cents, parts) as d from f), "
+    "h as (select *, cast(cents // d as hugeint) as p, parts // d as q from g), "
+    "i as (select *, cast(p * (1000000000000000000 // q) as varchar) as m from h), "
+    "k as (select *, rtrim(m, '0') as s from i), "
+    "n as (select o_orderkey, o_custkey, case when cents = 0 then '0e0' when 1000000000000000000 % q = 0 "
+    "then s || 'e' || cast(len(m) - len(s) - 18 as varchar) else cast(p as varchar) || '/' || cast(q as varchar) end as number_form from k) "
+)
+
+
+def _forms(spark, sf):
+    df = spark.sql(FORMS.replace("from orders", "from {orders}"), orders=fx.table(spark, sf, "orders"))
+    cents = F.col("cents").cast("string")
+    whole, rest = F.expr("cast(cents div 100 as string)"), F.lpad((F.col("cents") % 100).cast("string"), 2, "0")
+    answer = (
+        F.when(F.col("form") == 0, F.concat(F.lit("$"), whole, F.lit("."), rest))
+        .when(F.col("form") == 1, F.concat(cents, F.lit("/100")))
+        .when(F.col("form") == 2, F.concat(F.lit("\\frac{"), cents, F.lit("}{100.0}")))
+        .when(F.col("form") == 3, F.concat(F.lit("\\dfrac{"), cents, F.lit("}{300}")))
+        .when(F.col("form") == 4, F.concat((F.col("cents") * 2).cast("string"), F.lit("/600")))
+        .when(F.col("form") == 5, F.concat(cents, F.lit("\\%")))
+        .otherwise(F.concat(cents, F.lit("e-2")))
+    )
+    return df.select("o_orderkey", "o_custkey", answer.alias("answer"))
+
+
+@query("g2_number_form", FORM_SQL + "select o_orderkey, number_form from n")
+def g2_number_form(spark, sf):
+    return _forms(spark, sf).select("o_orderkey", g.number_form(F.col("answer")).alias("number_form"))
+
+
+@query(
+    "g3_answer_classes",
+    FORM_SQL + "select o_custkey % 10 as customer, number_form as answer_key, count(*) as answers from n group by all",
+)
+def g3_answer_classes(spark, sf):
+    customer = (F.col("o_custkey") % 10).alias("customer")
+    return og.answer_classes(_forms(spark, sf).select(customer, "answer"), ["customer"], "answer").select("customer", "answer_key", "answers")
+
+
 @query(
     "g4_grader_agreement",
     f"with n as (select form = 6 and whole = truth_value as e, form <> 5 and whole = truth_value as m from ({NUMBERS})) "

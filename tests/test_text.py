@@ -1,11 +1,14 @@
 """Text extraction and grading on hand-made cases."""
 
 import random
+import re
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from voteframe.functions import grading as g, text as t
+from voteframe.operators import grading as og
 
 
 def evaluate(spark, fn, values):
@@ -110,6 +113,38 @@ def test_graders(spark):
     assert [x for _, x in got] == [w and bool(a) for a, _, w in pairs]
 
 
+def test_normal_forms_are_exact(spark):
+    rng = random.Random(8)
+    same = ["0.5", "1/2", "\\frac{1}{2}", "50\\%", "50%", "5e-1", ".5", "-\\dfrac{-1}{2}", "2.5/5", "$0.50"]
+    cases = [(t, Fraction(1, 2)) for t in same]
+    for _ in range(400):
+        p, q = rng.randrange(-10**rng.randint(1, 15), 10**rng.randint(1, 15)), rng.randrange(1, 10 ** rng.randint(1, 15))
+        cases += [(f"{p}/{q}", Fraction(p, q)), (f"\\frac{{{p * 7}}}{{{q * 7}}}", Fraction(p, q))]
+        cases += [(f"{p}.{q}", Fraction(f"{p}.{q}")), (f"{p}e{q % 40 - 20}", p * Fraction(10) ** (q % 40 - 20))]
+    cases += [("1" * 60, Fraction("1" * 60)), ("1" * 60 + ".00", Fraction("1" * 60)), ("1" * 59 + "2", Fraction("1" * 59 + "2"))]
+    forms = evaluate(spark, g.number_form, [t for t, _ in cases])
+    by_value, by_form = {}, {}
+    for form, (text, value) in zip(forms, cases):
+        assert form is not None, text
+        assert by_value.setdefault(value, form) == form and by_form.setdefault(form, value) == value, text
+    assert evaluate(spark, g.number_form, ["", None, "x", "1/0", "0/0", "3 4", "1,2", "nan", "1e", "5--"]) == [None] * 10
+
+
+def test_exact_grader_and_answer_classes(spark):
+    pairs = [("1/3", "0.3333333333", False), ("1/3", "2/6", True), ("75\\%", "\\frac{3}{4}", True), ("YES", "yes ", True), ("a", "b", False), (None, "1", False)]
+    df = spark.createDataFrame(pairs, "a string, b string, w boolean")
+    assert [r.x for r in df.select(g.equivalent_exact(F.col("a"), F.col("b")).alias("x")).collect()] == [w for *_, w in pairs]
+    answers = [("k", t) for t in ("1/2", "0.5", "50%", " X", "x", "1/3", None, None)]
+    got = og.answer_classes(spark.createDataFrame(answers, "problem string, final_answer string"), ["problem"]).collect()
+    assert {(r.answer_key, r.answers) for r in got} == {("5e-1", 3), ("x", 2), ("1/3", 1), (None, 2)}
+
+
+def test_a_pair_is_graded_with_few_regular_expressions(spark):
+    df = spark.createDataFrame([("1", "2")], "a string, b string")
+    text = df.select(g.equivalent(F.col("a"), F.col("b")).alias("x"))._jdf.queryExecution().optimizedPlan().expressions().toString()
+    assert len(re.findall(r"regexp_replace\(|regexp_extract\(|RLIKE", text)) < 10
+
+
 def boxed(text):
     """Character-by-character reading of the last box, as the specification words it."""
     text = text.strip()

@@ -114,6 +114,12 @@ def all_confidence(
     return score.asNondeterministic()(logprobs)
 
 
+TUMBLING_NAMES = (
+    "mean_group_confidence", "bottom_10_percent_confidence", "tail_confidence", "lowest_group_confidence",
+    "top_10_percent_confidence", "highest_group_confidence",
+)
+
+
 def group_confidence(logprobs: Column, group: int = DEFAULT_GROUP, short: str = "spread") -> Column:
     """Array of sliding group means, from nested log-probabilities or token confidences."""
 
@@ -144,37 +150,31 @@ def edge_confidence(token_conf: Column, group: int = DEFAULT_GROUP, side: str =
     return let(piece, _mean)
 
 
-def tumbling_groups(token_conf: Column, group: int = DEFAULT_GROUP) -> Column:
-    """Means of consecutive non-overlapping groups; the last partial group has its own mean."""
-    count = F.ceil(F.size(token_conf) / F.lit(group)).cast("int")
-    starts = F.when(count > 0, F.sequence(F.lit(0), count - F.lit(1))).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(
-        starts, lambda i: _mean(F.slice(token_conf, i * F.lit(group) + F.lit(1), F.lit(group)))
+def tumbling_scores(values: np.ndarray, group: int) -> np.ndarray:
+    """The six scores of one response with tokens, in the order of ``TUMBLING_NAMES``."""
+    starts = np.arange(0, len(values), group)
+    sizes = np.diff(np.append(starts, len(values)))
+    groups = np.add.reduceat(values, starts) / sizes
+    ordered = np.sort(groups)
+    k = max(1, int(len(groups) * 0.1))
+    return np.array(
+        [groups.mean(), ordered[:k].mean(), values[-group:].mean(), ordered[0], ordered[-k:].mean(), ordered[-1]]
     )
 
 
 def tumbling_confidence(token_conf: Column, group: int = DEFAULT_GROUP) -> Column:
-    """Struct of six scores over non-overlapping groups; the decile size is truncated, not rounded
-    up, and missing log-probabilities give zeros throughout."""
-
-    def score(groups: Column) -> Column:
-        k = F.greatest(F.lit(1), F.floor(F.size(groups) * F.lit(0.1)).cast("int"))
-        ordered = F.array_sort(groups)
-        low = _mean(F.slice(ordered, F.lit(1), k))
-        high = _mean(F.slice(ordered, F.size(groups) - k + F.lit(1), k))
-        parts = {
-            "mean_group_confidence": _mean(groups),
-            "bottom_10_percent_confidence": low,
-            "tail_confidence": edge_confidence(token_conf, group, "tail"),
-            "lowest_group_confidence": F.element_at(ordered, 1),
-            "top_10_percent_confidence": high,
-            "highest_group_confidence": F.element_at(ordered, -1),
-        }
-        filled = F.size(groups) > 0
-        zero = F.lit(0.0)
-        return F.struct(*[F.when(filled, v).otherwise(zero).alias(n) for n, v in parts.items()])
-
-    safe = F.coalesce(token_conf, F.array().cast("array<double>"))
-    return let(tumbling_groups(safe, group), score)
+    """Struct of six scores over non-overlapping groups, from nested log-probabilities or token
+    confidences; the decile size is truncated, not rounded up, and missing log-probabilities give zeros
+    throughout. A null token makes the scores that it takes part in NaN."""
+
+    @F.arrow_udf(", ".join(f"{n} double" for n in TUMBLING_NAMES))
+    def score(batch: pa.Array) -> pa.Array:
+        table = np.zeros((len(batch), len(TUMBLING_NAMES)))
+        for i, values in enumerate(token_arrays(batch)):
+            if values is not None and len(values):
+                table[i] = tumbling_scores(values, group)
+        columns = [pa.array(table[:, j]) for j in range(len(TUMBLING_NAMES))]
+        return pa.StructArray.from_arrays(columns, names=list(TUMBLING_NAMES))
+
+    # Marked nondeterministic for the same reason as the sliding scores.
+    return score.asNondeterministic()(token_conf)

@@ -51,6 +51,16 @@ def grade_distinct(
     return filled.join(marks, on, "left").drop("__a", "__t").unionByName(blank)
 
 
+def answer_classes(df: DataFrame, keys: list[str], answer: str = "final_answer") -> DataFrame:
+    """Answers per group and class of equal ones (``answer_key``), with the smallest spelling.
+
+    Classes are exact and transitive, so they are groups of one aggregation that combines on the map
+    side: a hot class sends a row per task. Null answers are a class of their own.
+    """
+    keyed = df.withColumn("answer_key", g.answer_key(F.col(answer)))
+    return keyed.groupBy(*keys, "answer_key").agg(F.count(F.lit(1)).alias("answers"), F.min(answer).alias("spelling"))
+
+
 def grade_all(
     df: DataFrame, graders: dict[str, Grader], answer: str = "final_answer",
     truth: str = "ground_truth",
