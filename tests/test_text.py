@@ -141,7 +141,7 @@ def test_exact_grader_and_answer_classes(spark):
 
 def test_a_pair_is_graded_with_few_regular_expressions(spark):
     df = spark.createDataFrame([("1", "2")], "a string, b string")
-    text = df.select(g.equivalent(F.col("a"), F.col("b")).alias("x"))._jdf.queryExecution().optimizedPlan().expressions().toString()
+    text = df.select(g.equivalent_exact(F.col("a"), F.col("b")).alias("x"))._jdf.queryExecution().optimizedPlan().expressions().toString()
     assert len(re.findall(r"regexp_replace\(|regexp_extract\(|RLIKE", text)) < 10
 
 

@@ -11,8 +11,12 @@ from voteframe.functions.text import final_answer, let, strip
 # A grader compares an answer column with a truth column and yields a boolean column.
 Grader = Callable[[Column, Column], Column]
 
-FRACTION_PATTERN = r"^([+-]?)\\[dt]?frac\{([+-]?\d+\.?\d*)\}\{([+-]?\d+\.?\d*)\}(?=\\?%?$)"
-NUMBER_PATTERN = r"^(?:[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[+-]{0,2}\d+\.?\d*/[+-]?\d+\.?\d*)$"
+NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+FRACTION_PATTERN = r"^([+-]?)\\[dt]?frac\{([+-]?\d+\.?\d*)\}\{([+-]?\d+\.?\d*)\}$"
+SLASH_PATTERN = r"^([+-]?\d+\.?\d*)/(\d+\.?\d*)$"
+INTEGER_PATTERN = r"^[+-]?\d+$"
+FORM_FRACTION_PATTERN = r"^([+-]?)\\[dt]?frac\{([+-]?\d+\.?\d*)\}\{([+-]?\d+\.?\d*)\}(?=\\?%?$)"
+FORM_PATTERN = r"^(?:[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[+-]{0,2}\d+\.?\d*/[+-]?\d+\.?\d*)$"
 # Fractions are reduced if both numbers have at most this many digits.
 EXACT_DIGITS = 18
 TOLERANCE = 1e-9
@@ -83,7 +87,7 @@ def number_form(text: Column) -> Column:
     def parts(t: Column) -> Column:
         percent = F.when(t.endswith("%"), F.lit(2)).otherwise(F.lit(0))
         return let(F.upper(F.rtrim(t, F.lit("\\%"))), lambda number: F.when(
-            number.rlike(NUMBER_PATTERN), let(F.split(F.translate(number, "E", "/"), "/"), lambda p: split_number(number, p, percent))
+            number.rlike(FORM_PATTERN), let(F.split(F.translate(number, "E", "/"), "/"), lambda p: split_number(number, p, percent))
         ))
 
     def split_number(number: Column, p: Column, percent: Column) -> Column:
@@ -110,7 +114,7 @@ def number_form(text: Column) -> Column:
             .otherwise(_reduced_form(n["sign"], above, below))
         )
 
-    slash = F.regexp_replace(clean_number_text(text), FRACTION_PATTERN, "$1$2/$3")
+    slash = F.regexp_replace(clean_number_text(text), FORM_FRACTION_PATTERN, "$1$2/$3")
     return let(slash, lambda t: let(F.when(~t.contains("."), t.try_cast("bigint")), lambda whole: (
         F.when(whole.isNull(), let(parts(t), form)).when(whole == 0, F.lit("0e0"))
         .otherwise(_power_form(F.lit(""), whole.cast("string"), F.lit(0)))
@@ -123,25 +127,6 @@ def answer_key(text: Column) -> Column:
     return F.coalesce(number_form(text), F.lower(strip(text)))
 
 
-def form_value(form: Column) -> Column:
-    """The nearest double of a normal form."""
-    top, bottom = (F.split_part(form, F.lit("/"), F.lit(i)).try_cast("double") for i in (1, 2))
-    return F.when(form.contains("/"), F.try_divide(top, bottom)).otherwise(form.try_cast("double"))
-
-
-def numeric_value(text: Column) -> Column:
-    """The value of a plain number or a simple fraction; null for anything else."""
-    return let(number_form(text), form_value)
-
-
-def _close_forms(forms: Column) -> Column:
-    """Equal forms, or a tolerance unless both are whole numbers."""
-    a, b = forms["a"], forms["b"]
-    whole = ~(a.contains("/") | a.contains("e-") | b.contains("/") | b.contains("e-"))
-    x, y = form_value(a), form_value(b)
-    return (a == b) | (~whole & (F.abs(x - y) <= F.lit(TOLERANCE) * F.greatest(F.lit(1.0), F.abs(y))))
-
-
 def _has_digit(text: Column) -> Column:
     return F.translate(text, "0123456789", "") != text
 
@@ -153,13 +138,36 @@ def equivalent_exact(answer: Column, truth: Column) -> Column:
     return same_text(answer, truth) | F.coalesce(equal, F.lit(False))
 
 
+def numeric_value(text: Column) -> Column:
+    """The value of a plain number or a simple fraction; null for anything else."""
+    t = clean_number_text(text)
+    num = F.regexp_extract(t, FRACTION_PATTERN, 2).try_cast("double")
+    den = F.regexp_extract(t, FRACTION_PATTERN, 3).try_cast("double")
+    sign = F.when(F.regexp_extract(t, FRACTION_PATTERN, 1) == "-", F.lit(-1.0)).otherwise(1.0)
+    top = F.regexp_extract(t, SLASH_PATTERN, 1).try_cast("double")
+    bottom = F.regexp_extract(t, SLASH_PATTERN, 2).try_cast("double")
+    return (
+        F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double"))
+        .when(t.rlike(FRACTION_PATTERN), sign * F.try_divide(num, den))
+        .when(t.rlike(SLASH_PATTERN), F.try_divide(top, bottom))
+    )
+
+
+def integer_text(text: Column) -> Column:
+    """An integer of any length without plus sign and leading zeros; null for anything else."""
+    t = clean_number_text(text)
+    digits = F.regexp_replace(F.regexp_replace(t, r"^[+-]", ""), r"^0+(?=\d)", "")
+    signed = F.when(t.startswith("-") & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
+    return F.when(t.rlike(INTEGER_PATTERN), signed)
+
+
 def equivalent(answer: Column, truth: Column) -> Column:
-    """Equal as text or as numbers; numbers that are not both whole within a relative tolerance. Each
-    normal form is computed once, and only where the texts differ and both have a digit. No guard for
-    empty answers."""
-    forms = F.struct(number_form(answer).alias("a"), number_form(truth).alias("b"))
-    close = _has_digit(answer) & _has_digit(truth) & let(forms, _close_forms)
-    return same_text(answer, truth) | F.coalesce(close, F.lit(False))
+    """Equal as text, as integers digit by digit, or as other numbers within a relative tolerance.
+    No guard for empty answers."""
+    a, b = numeric_value(answer), numeric_value(truth)
+    close = F.abs(a - b) <= F.lit(TOLERANCE) * F.greatest(F.lit(1.0), F.abs(b))
+    equal = F.coalesce(integer_text(answer) == integer_text(truth), close)
+    return same_text(answer, truth) | F.coalesce(equal, F.lit(False))
 
 
 def is_correct_equivalent(answer: Column, truth: Column, grader: Grader = equivalent) -> Column:
