@@ -83,7 +83,7 @@ def test_jaccard_join_finds_every_link(spark, texts, monkeypatch):
     assert got == want
 
 
-def test_prefix_is_shortened_to_the_target_recall():
+def test_band_length_is_the_longest_of_the_target_recall():
     k = neardup.matched_depth(32, 12, 0.8, 0.995)
     recall = lambda k: 1 - (1 - 0.8**k) ** 32
     assert recall(k) >= 0.995 > recall(k + 1)

@@ -1,11 +1,12 @@
-"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
-
-Every distinct set of word shingles has a signature for each of a number of prefix tries. The length
-of prefix that must match is shortened from the full depth until pairs at the threshold are found
-with the target recall. Sets that share a prefix in some trie are linked to the smallest of them,
-which gives candidate clusters; a cluster's texts meet once, in blocks of bounded size, where the
-similarity of every pair is computed exactly. What leaves a block is one row per set (its number of
-links and the smallest set it is connected with), never the pairs.
+"""N-gram Jaccard join by MinHash banding, with exact verification.
+
+Every distinct set of word shingles has a signature of 32 bands. All bands have one fixed length, the
+longest that finds a pair at the threshold with the target recall; it follows from these constants and
+not from the data, so this is banding and not a forest of tries whose prefixes are shortened for a set.
+Sets that share a band are linked to the smallest of them, which gives candidate clusters; a cluster's
+texts meet once, in blocks of bounded size, where the similarity of every pair is computed exactly.
+What leaves a block is one row per set (its number of links and the smallest set it is connected with),
+never the pairs.
 """
 
 from __future__ import annotations
@@ -29,8 +30,7 @@ BLOCK_SETS, BLOCK_SHINGLES = 512, 1_000_000
 
 
 def matched_depth(trees: int, depth: int, threshold: float, recall: float) -> int:
-    """The longest prefix at which pairs at the threshold share one in some trie with the target
-    recall."""
+    """The longest band at which pairs at the threshold share one with the target recall."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
