@@ -390,10 +390,10 @@ def p4_responses(spark, sf):
     "select concat('c', cast(conv_id as string)) as problem_id, cast(i as int) as response_idx, "
     "concat('c', cast(conv_id as string), '_resp_', cast(i as string)) as response_id, "
     "string_split(text, '.')[i + 1] as generated_text from (select conv_id, turn, text, "
-    "unnest(range(0, len(string_split(text, '.')))) as i from conversations where role = 'assistant')",
+    "unnest(range(0, len(string_split(text, '.')))) as i from conversations)",
 )
 def p5(spark, sf):
-    chats = fx.table(spark, sf, "conversations").where("role = 'assistant'").select(
+    chats = fx.table(spark, sf, "conversations").select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("problem_id"),
         F.split("text", r"\.").alias("completions"),
     )

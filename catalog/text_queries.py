@@ -121,10 +121,10 @@ def t9(spark, sf):
 
 @query(
     "t10_chat_completion_text",
-    "select conv_id, turn, text as completion from conversations where role = 'assistant'",
+    "select conv_id, turn, text as completion from conversations",
 )
 def t10(spark, sf):
-    chats = fx.table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    chats = fx.table(spark, sf, "conversations")
     messages = F.array(F.struct("role", F.col("text").alias("content")))
     return chats.select("conv_id", "turn", t.chat_completion_text(messages).alias("completion"))
 
