@@ -211,7 +211,7 @@ def post_marker_tokens(text: Column) -> Column:
 
 def chat_completion_text(messages: Column) -> Column:
     """First message's content of a chat-style completion."""
-    return F.try_element_at(messages, F.lit(1))["content"]
+    return F.get(messages, F.lit(0))["content"]
 
 
 def lacks_marker(text: Column) -> Column:
