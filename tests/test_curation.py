@@ -26,13 +26,12 @@ def sets_of(df):
     out = {}
     for r in df.collect():
         out.setdefault((r.problem_id, r.set_size, r.set_no), []).append((r.slot, r.response_idx))
-    return out
+    return {k: sorted(v) for k, v in out.items()}
 
 
-@pytest.mark.parametrize("limit", [cu.GROUP_LIMIT, 1])
-def test_sets_without_fill(responses, limit, monkeypatch):
-    monkeypatch.setattr(cu, "GROUP_LIMIT", limit)
-    sets = sets_of(cu.make_sets(responses, 4, [4], hot_rows=50))
+@pytest.mark.parametrize("hot_rows", [1000, 50])
+def test_sets_without_fill(responses, hot_rows):
+    sets = sets_of(cu.make_sets(responses, 4, [4], hot_rows=hot_rows))
     per_problem = {}
     for (p, _, _), members in sets.items():
         assert sorted(s for s, _ in members) == [0, 1, 2, 3]
@@ -44,10 +43,42 @@ def test_sets_without_fill(responses, limit, monkeypatch):
     assert [i for k in (0, 1) for _, i in sorted(sets[("p9", 4, k)])] == [0, 2, 4, 6, 8, 10, 12, 14]
 
 
-def test_both_paths_choose_the_same(responses, monkeypatch):
-    first = sets_of(cu.make_sets(responses, 4, [4, 2]))
-    monkeypatch.setattr(cu, "GROUP_LIMIT", 1)
-    assert sets_of(cu.make_sets(responses, 4, [4, 2], hot_rows=30)) == first
+@pytest.mark.parametrize("num, fill", [(4, False), (300, True)])
+def test_both_paths_choose_the_same(responses, num, fill):
+    lost = F.when(F.col("problem_id") != "p20", F.col("problem_id")).alias("problem_id")
+    holed = responses.select(lost, *responses.columns[1:])  # a null problem is a group
+    first, chunked = (sets_of(cu.make_sets(holed, num, [4, 2], fill, hot_rows=hot)) for hot in (1000, 10))
+    assert chunked == first
+    if fill:
+        assert len([k for k in first if k[:2] == (None, 4)]) == num
+
+
+def test_smallest_digests_keep_enough_and_little_more(responses, spark):
+    rows = spark.range(20_000).selectExpr("if(id % 4 = 0, null, id % 4) AS k", "id", "md5(cast(id AS string)) AS d")
+    every = {}
+    for r in rows.collect():
+        every.setdefault(r.k, []).append(r.d)
+    for most in (1, 50, 4_999, 5_000, 10**9):
+        kept = {}
+        for r in cu.smallest_digests(rows, ["k"], "d", most, "n").collect():
+            assert r.n == 5_000
+            kept.setdefault(r.k, []).append(r.d)
+        assert set(kept) == set(every)
+        for k, digests in kept.items():
+            assert sorted(digests)[:most] == sorted(every[k])[:most]
+            assert len(digests) <= max(4 * most, 40)
+
+
+def test_many_sets_of_one_problem_spread_over_tasks(spark):
+    df = spark.range(300_000).selectExpr("if(id < 299990, 'p', 'q') AS problem_id", "cast(id AS int) AS response_idx")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sets = cu.make_sets(df, 50_000, [4], hot_rows=10_000)
+        per_task = [r["count"] for r in sets.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(per_task) == 200_008 and max(per_task) < 60_000
+    assert sets.select("response_idx").distinct().count() == 200_008
 
 
 def test_fill_repeats_short_problems(responses):

@@ -12,7 +12,7 @@ from voteframe.functions.confidence import sliding_means
 from voteframe.functions.text import word_count
 from voteframe.operators import ordering as o, passk, prompts, voting
 from voteframe.operators.curation import group_solutions  # noqa: F401
-from voteframe.operators.distributions import prompt_token_summary
+from voteframe.operators.distributions import positive_statistics, prompt_token_summary
 from voteframe.operators.selection import nest_by_problem
 from voteframe.session import work_dir
 from voteframe.sources.readers import read_solution_results
@@ -54,6 +54,20 @@ def test_null_split_keeps_its_statistics(spark):
     assert rows[None].samples == 2 and rows[None]["mean"] == 6.0
 
 
+def test_null_key_keeps_its_statistics_and_classes(spark):
+    df = spark.createDataFrame([(5, None), (7, None), (0, None), (9, "a")], "v long, k string")
+    rows = {r.k: r for r in positive_statistics(df, "v", ["k"]).collect()}
+    assert rows[None].total == 3 and rows[None].positive == 2 and rows[None]["mean"] == 6.0 and rows[None]["median"] == 6.0
+
+
+@pytest.mark.parametrize("order, kept", [([0, 1, 2], True), ([0, 0, 2], False), ([1, 2, 3], False), ([0, 1, 1, 3, 5, 5, 6, 7], False), ([None, 1], False)])
+def test_positions_are_never_repeated(spark, order, kept):
+    df = spark.createDataFrame([("p", i) for i in order], "k string, i long")
+    rows = o.with_positions(df, ["k"], "i", "pos").collect()
+    assert sorted(r.pos for r in rows) == list(range(len(order)))
+    assert not kept or all(r.pos == r.i for r in rows)
+
+
 @pytest.mark.parametrize("values", [[1, np.inf, 1, 1, 1, 1], [1, -np.inf, 2, np.inf, 1, 3, 4], [np.nan, 1, 2, 3, np.inf, 1, 1], [1, 2, 3, 4]])
 def test_infinite_tokens_touch_their_windows_only(values):
     x = np.array(values, float)

@@ -14,7 +14,7 @@ from voteframe.functions import grading as g
 from voteframe.functions.grading import Grader
 from voteframe.functions.text import token_count
 from voteframe.operators.ordering import (
-    HOT_ROWS, hash_bucket, hash_row_numbers, null_safe_join, row_numbers, running_totals, sample_key,
+    HOT_ROWS, hash_bucket, hash_row_numbers, null_safe_join, oversized, row_numbers, running_totals, sample_key,
 )
 from voteframe.operators.prompts import PLAIN_TEMPLATE, set_prompt
 from voteframe.operators.selection import filter_by_token_length
@@ -22,8 +22,7 @@ from voteframe.session import cut_lineage
 
 # Fixed value: problems with this many responses or fewer are dropped by cleaning.
 MIN_RESPONSES = 7
-# Below this a constant rank limit is applied before the shuffle (spark.sql.window.group.limit.threshold).
-GROUP_LIMIT = 1000
+SLOT_BLOCK = 4096  # slots of repeats are made in blocks, so no array grows with the number of sets
 
 
 def usable_responses(df: DataFrame, token_threshold: int = 2000) -> DataFrame:
@@ -42,7 +41,7 @@ def clean_responses(df: DataFrame, token_threshold: int = 2000) -> DataFrame:
         usable.groupBy("problem_id").agg(F.count(F.lit(1)).alias("__n"))
         .where(F.col("__n") > MIN_RESPONSES).select("problem_id")
     )
-    return usable.join(enough, "problem_id", "left_semi")
+    return null_safe_join(usable, enough, ["problem_id"], "left_semi")
 
 
 def response_count_distribution(df: DataFrame, token_threshold: int = 2000) -> DataFrame:
@@ -74,30 +73,34 @@ def make_sets(
     added up to ``num * size``. Only full sets remain. Adds set_size, set_no, slot, set_id.
 
     The hash order does not depend on the size, so at most ``num * max(sizes)`` responses of a
-    problem can ever be used. Spark applies such a constant rank limit before the shuffle, which
-    keeps a huge problem from reaching one task.
+    problem are ever used (``smallest_digests``). Neither a problem's size nor ``num`` decides what a
+    task holds: above ``hot_rows`` responses positions are counted over chunks of a problem. A null
+    problem is a group like any other; equal (problem, response_idx) are taken in any order.
     """
     most = num * max(sizes)
+    problem = ["problem_id"]
     keyed = df.withColumn(
         "__digest", sample_key(F.col("problem_id"), F.col("response_idx"), seed=seed)
     )
-    if most < GROUP_LIMIT:
-        in_hash = Window.partitionBy("problem_id").orderBy("__digest")
-        first = keyed.withColumn("__rank", F.row_number().over(in_hash)).where(
-            F.col("__rank") <= most
-        ).withColumn("__rank", (F.col("__rank") - 1).cast("bigint"))
-    else:
-        first = hash_row_numbers(keyed, ["problem_id"], "__digest", "__rank", hot_rows).where(
-            F.col("__rank") < most
+    if oversized(df, problem, hot_rows) is None:
+        in_hash = Window.partitionBy(*problem).orderBy("__digest")
+        whole = Window.partitionBy(*problem)
+        # Spark applies a rank limit of up to a thousand before the shuffle as well. What is left
+        # of a problem with fewer than ``most`` rows is complete, so counts below that are right.
+        counted = (
+            keyed.withColumn("__rank", F.row_number().over(in_hash)).where(F.col("__rank") <= most)
+            .withColumns({
+                "__rank": (F.col("__rank") - 1).cast("bigint"),
+                "__n": F.count(F.lit(1)).over(whole),
+                "__own": (F.row_number().over(whole.orderBy("response_idx")) - 1).cast("bigint"),
+            })
         )
-    # What is left of a problem is bounded by ``most`` rows; below that it is complete.
-    problem = Window.partitionBy("problem_id")
-    counted = first.drop("__digest").withColumns(
-        {
-            "__n": F.count(F.lit(1)).over(problem),
-            "__own": (F.row_number().over(problem.orderBy("response_idx")) - 1).cast("bigint"),
-        }
-    )
+    else:
+        drawn = smallest_digests(keyed, problem, "__digest", most, "__n")
+        ranked = hash_row_numbers(drawn, problem, "__digest", "__rank", hot_rows)
+        first = ranked.where(F.col("__rank") < most)
+        counted = row_numbers(first, problem, "response_idx", "__own", hot_rows=hot_rows)
+    counted = counted.drop("__digest")
     sized = counted.withColumn("set_size", F.explode(F.array(*[F.lit(s) for s in sizes])))
     needed = F.col("set_size") * num
     parts = sized.withColumn(
@@ -106,12 +109,15 @@ def make_sets(
     if fill:
         keys = ["set_size", "problem_id"]
         short = parts.where(F.col("__n") < needed)
-        slots = F.sequence(F.col("__n"), (needed - 1).cast("bigint"))
-        repeats = short.where(F.col("__pos") == 0).select(*keys, "__n").withColumn(
-            "__slot", F.explode(slots)
-        ).withColumn("__pick", repeat_pick(F.col("problem_id"), F.col("__slot"), F.col("__n"), seed))
+        last, block = (needed - 1).cast("bigint"), F.col("__block") * SLOT_BLOCK
+        in_block = F.sequence(F.greatest(F.col("__n"), block), F.least(last, block + (SLOT_BLOCK - 1)))
+        repeats = short.where(F.col("__pos") == 0).select(
+            *keys, "__n", F.explode(F.sequence(block_of(F.col("__n")), block_of(last))).alias("__block")
+        ).withColumn("__slot", F.explode(in_block)).drop("__block").withColumn(
+            "__pick", repeat_pick(F.col("problem_id"), F.col("__slot"), F.col("__n"), seed)
+        )
         source = short.withColumnRenamed("__pos", "__pick").drop("__n")
-        drawn = repeats.join(source, [*keys, "__pick"]).withColumn("__pos", F.col("__slot"))
+        drawn = null_safe_join(repeats, source, [*keys, "__pick"]).withColumn("__pos", F.col("__slot"))
         parts = parts.unionByName(drawn.select(*parts.columns))
     held = F.when(F.lit(fill), needed).otherwise(F.least(needed, F.col("__n")))
     placed = parts.withColumns(
@@ -124,6 +130,35 @@ def make_sets(
     return placed.withColumn("set_id", set_id).drop("__n", "__pos")
 
 
+def block_of(slot: Column) -> Column:
+    return F.floor(slot / F.lit(SLOT_BLOCK)).cast("bigint")
+
+
+def smallest_digests(
+    df: DataFrame, keys: Sequence[str], digest: str, most: int, count: str
+) -> DataFrame:
+    """Rows that include the ``most`` smallest digests of each key, about twice as many at most, with
+    the key's number of rows as ``count``; smaller keys stay whole.
+
+    A row's level is the number of leading zero bits of its digest. Rows are counted per key and
+    level (at most 33 counters a key, combined on the map side), and a key keeps the rows from the
+    highest level on at which enough are left. That threshold is counted and not estimated, so no
+    row that is needed can be missing, and nothing is ordered before most rows are gone.
+    """
+    keys = list(keys)
+    number = F.conv(F.substring(F.col(digest), 1, 8), 16, 10).cast("bigint")
+    level = F.lit(32) - F.length(F.ltrim(F.bin(number), F.lit("0")))
+    levelled = df.withColumn("__level", level)
+    cells = levelled.groupBy(*keys, "__level").agg(F.count(F.lit(1)).alias("__rows"))
+    above = F.sum("__rows").over(Window.partitionBy(*keys).orderBy(F.desc("__level")))
+    cuts = cells.withColumn("__above", above).groupBy(*keys).agg(
+        F.sum("__rows").alias(count),
+        F.coalesce(F.max(F.when(F.col("__above") >= most, F.col("__level"))), F.lit(0)).alias("__cut"),
+    )
+    kept = null_safe_join(levelled, cuts, keys).where(F.col("__level") >= F.col("__cut"))
+    return kept.drop("__level", "__cut")
+
+
 def repeat_pick(problem: Column, slot: Column, n: Column, seed: int = 42) -> Column:
     """Position of the response repeated in ``slot``: a hash of problem, slot and seed modulo n."""
     number = F.conv(F.substring(sample_key(problem, slot, seed=seed), 1, 8), 16, 10).cast("bigint")
@@ -243,14 +278,15 @@ def group_solutions(
 ) -> DataFrame:
     """Number rows per problem again and cut them into consecutive full groups of ``size``; the
     remainder is dropped and at most ``max_groups`` groups remain. Adds group_idx and slot."""
-    if max_groups and size * max_groups < GROUP_LIMIT:
-        # A constant rank limit, applied before the shuffle.
-        in_order = Window.partitionBy("problem_id").orderBy(order)
+    problem = ["problem_id"]
+    if max_groups and oversized(df, problem, hot_rows) is None:
+        # Spark applies a limit of up to a thousand before the shuffle as well.
+        in_order = Window.partitionBy(*problem).orderBy(order)
         placed = df.withColumn("__rank", F.row_number().over(in_order)).where(
             F.col("__rank") <= size * max_groups
         ).withColumn("__pos", (F.col("__rank") - 1).cast("bigint")).drop("__rank")
     else:
-        placed = row_numbers(df, ["problem_id"], order, "__pos", hot_rows=hot_rows)
+        placed = row_numbers(df, problem, order, "__pos", hot_rows=hot_rows)
     cut = placed.withColumns(
         {"group_idx": F.floor(F.col("__pos") / size), "slot": (F.col("__pos") % size).cast("int")}
     )

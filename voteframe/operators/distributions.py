@@ -56,7 +56,7 @@ def describe(
     wanted = [0.5, *fractions]
     edges = exact_percentiles(df, value, wanted, keys, "__p", chunk=chunk)
     if keys:
-        joined = moments.join(edges, keys, "left")
+        joined = null_safe_join(moments, edges, keys, "left")
     else:
         joined = moments.withColumn("__p", edges.select("__p").scalar())
     named = {"median": F.col("__p")[0]}
@@ -114,7 +114,7 @@ def accuracy_by_percentile(
     accuracy = F.avg(F.col(correct).cast("double")).alias("accuracy")
     if keys:
         edges = exact_percentiles(rows, value, fractions, keys, "edges", chunk="always")
-        located = rows.join(edges, keys)
+        located = null_safe_join(rows, edges, keys)
         filled = binned(located, bin_index(x, F.col("edges"), closed_last), keys, [accuracy])
         bounds = edges.select(
             *keys, F.posexplode(F.slice("edges", 1, len(fractions) - 1)).alias("bin", "low"), "edges"
@@ -123,7 +123,7 @@ def accuracy_by_percentile(
         found = fetch_edges(rows, value, fractions)
         filled = binned(rows, constant_bin(x, found, closed_last), (), [accuracy])
         bounds = edge_table(df, found)
-    out = bounds.join(filled, [*keys, "bin"], "left" if keep_empty else "inner")
+    out = null_safe_join(bounds, filled, [*keys, "bin"], "left" if keep_empty else "inner")
     if keep_empty:
         out = out.fillna({"count": 0, "accuracy": 0.0})
     return out
@@ -188,7 +188,7 @@ def confidence_histogram(
     if not weighted:
         return counted
     sizes = counted.groupBy(correct).agg(F.sum("count").alias("__class"))
-    return counted.join(sizes, correct).withColumn(
+    return null_safe_join(counted, sizes, [correct]).withColumn(
         "share", F.col("count") / F.col("__class")
     ).drop("__class")
 
@@ -213,7 +213,7 @@ def positive_statistics(df: DataFrame, value: str, keys: Sequence[str] = ()) ->
     )
     above = describe(df.where(F.col(value) > 0), value, TAIL_PERCENTILES, keys).drop("n")
     if keys:
-        return every.join(above, list(keys), "left")
+        return null_safe_join(every, above, list(keys), "left")
     packed = above.select(F.struct(*above.columns).alias("s")).scalar()
     return every.withColumn("s", packed).select("total", "mean_all", "positive", "s.*")
 

@@ -190,10 +190,21 @@ def with_positions(
     df: DataFrame, keys: Sequence[str], order: str, name: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add the zero-based position of each row within its key, whatever gaps a filter left in
-    ``order``, which must be unique within a key. One job with map-side combine looks for gaps;
-    where there are none, ``order`` is the position and nothing is shuffled."""
-    n = F.count(F.lit(1))
-    dense = (F.count(order) == n) & (F.min(order) == 0) & (F.max(order) == n - 1)
+    ``order``, which should be unique within a key. One job with map-side combine looks for gaps and
+    repeats; where there are none, ``order`` is the position and nothing is shuffled. Repeated
+    values take positions one after another, in any order.
+
+    A key is dense if its values have the number, the ends, the sum and the sum of squares of
+    ``0 .. n-1``. Doubles hold both sums exactly below 2**53; beyond, a key is not called dense.
+    """
+    n, x = F.count(F.lit(1)), F.col(order).cast("double")
+    size = n.cast("double")
+    squares = F.sum(x * x)
+    dense = (
+        (F.count(order) == n) & (F.min(order) == 0) & (F.max(order) == n - 1)
+        & (F.sum(x) == size * (size - 1) / 2) & (squares < 2.0**53)
+        & (squares * 6 == size * (size - 1) * (2 * size - 1))
+    )
     if df.groupBy(*keys).agg(dense.alias("__dense")).where(~F.col("__dense")).isEmpty():
         return df.withColumn(name, F.col(order).cast("bigint"))
     return row_numbers(df, keys, order, name, hot_rows=hot_rows)

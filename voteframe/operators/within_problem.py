@@ -2,7 +2,8 @@
 
 Every report starts from counts per (problem, value), joined with per-problem aggregates; no window
 holds a whole oversized problem. Reports that pass over their rows several times first write the few
-columns they need to the shared folder.
+columns they need to the shared folder. Rows without a problem have nothing to be compared with and
+are left out of all of them.
 """
 
 from __future__ import annotations
