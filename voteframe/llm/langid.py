@@ -95,10 +95,13 @@ def learn_profiles(
     size: int = PROFILE, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES,
 ) -> Profiles:
     """Profiles of at most ``per_language`` texts of each language (those with the smallest key
-    hashes), of the ``languages`` most frequent labels."""
+    hashes). More than ``languages`` labels are an error: what the driver and every task hold grows
+    with them, and none is left out without a word."""
     labelled = docs.where(use & F.col(lang_col).isNotNull())
     slim = labelled.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"))
-    common = slim.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(languages)
+    common = slim.groupBy("__lang").count()
+    if common.limit(languages + 1).count() > languages:
+        raise ValueError(f"more than {languages} languages; pass a larger bound as languages=")
     order = Window.partitionBy("__lang").orderBy(key_hash("__id"), "__id")
     picked = (
         slim.join(F.broadcast(common), "__lang").where(among_smallest("__id", F.col("count"), per_language))

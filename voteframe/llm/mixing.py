@@ -85,7 +85,8 @@ def fit_classifier(
     domain_col: str = "domain", buckets: int = BUCKETS, sample_rows: int = SAMPLE_ROWS, domains: int = DOMAINS,
 ) -> Classifier:
     """Naive Bayes from at most ``sample_rows`` rows of ``labelled`` (id, domain), those with the
-    smallest key hashes; at most ``domains`` domains, the most frequent ones."""
+    smallest key hashes. More than ``domains`` domains in them are an error: the model is an
+    expression of as many sums, and no domain is left out without a word."""
     import math
 
     rows = labelled.where(F.col(domain_col).isNotNull() & F.col(id_col).isNotNull())
@@ -94,13 +95,14 @@ def fit_classifier(
     texts = docs.join(sample, F.col(id_col) == F.col("__id"))
     counted = texts.select("domain", F.explode(word_buckets(F.col(text_col), buckets)).alias("bucket"))
     cells = counted.groupBy("domain", "bucket").count()
-    shares = {r.domain: r["count"] for r in sample.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(domains).collect()}
+    shares = {r.domain: r["count"] for r in sample.groupBy("domain").count().limit(domains + 1).collect()}
+    if len(shares) > domains:
+        raise ValueError(f"more than {domains} domains; pass a larger bound as domains=")
     names = sorted(shares)
     at = {name: i for i, name in enumerate(names)}
     counts = [[0] * buckets for _ in names]
     for r in cells.collect():  # at most buckets * domains cells
-        if r.domain in at:
-            counts[at[r.domain]][r.bucket] = r["count"]
+        counts[at[r.domain]][r.bucket] = r["count"]
     weights = []
     for row in counts:
         total = sum(row) + buckets

@@ -184,7 +184,8 @@ def one_of_copies(labelled: DataFrame) -> DataFrame:
                 least[doc[heads]] = np.minimum.reduceat(hashes, heads)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least.view(np.int64))], ["text", "label", "__id", "sketch"])
 
-    sketched = map_arrow(labelled, run, "text string, label int, __id long, sketch long")
+    key = dict(labelled.dtypes)["__id"]
+    sketched = map_arrow(labelled, run, f"text string, label int, __id {key}, sketch long")
     kept = sketched.groupBy("sketch", "label").agg(F.min_by("text", "__id").alias("text"), F.count(F.lit(1)).alias("copies"))
     return kept.select("text", "label", "copies")
 
@@ -216,17 +217,18 @@ def choose_stems(counts: DataFrame, toxic: int, clean: int, size: int) -> list[s
     of the documents."""
     chance = math.log(CANDIDATES / 0.05) / math.log((toxic + clean + 1) / (toxic + 0.5))
     least = max(3, min(math.ceil(chance), toxic // 4), toxic * 3 // 1000)
-    good = counts.where((F.col("toxic") >= least) & (F.col("clean") * max(toxic, 1) * 100 <= F.col("toxic") * max(clean, 1)))
-    rows = good.orderBy(F.desc("toxic"), "stem").limit(size * 20).collect()  # bounded by the lexicon's size
-    support = {r.stem: r.toxic for r in rows}
-    best: list[str] = []
-    for stem in sorted(support, key=lambda s: (len(s), s)):
-        longer = [s for s in support if len(s) == len(stem) + 1 and s.startswith(stem)]
-        if any(support[s] * 20 >= support[stem] * 19 for s in longer):
-            continue
-        if not any(stem.startswith(b) for b in best):
-            best.append(stem)
-    return sorted(sorted(best, key=lambda s: (-support[s], s))[:size])
+    good = cut_lineage(
+        counts.where((F.col("toxic") >= least) & (F.col("clean") * max(toxic, 1) * 100 <= F.col("toxic") * max(clean, 1))), "stems"
+    )
+    # A stem is closed if no longer one keeps nearly all of its documents; of closed stems of which
+    # one begins with the other, the shorter stays.
+    shorter = lambda n: F.expr(f"substring(stem, 1, {n})")
+    longer = good.groupBy(shorter("length(stem) - 1").alias("stem")).agg(F.max("toxic").alias("longest"))
+    closed = good.join(longer, "stem", "left").where("coalesce(longest, 0) * 20 < toxic * 19").select("stem", "toxic")
+    inside = F.explode(F.expr("transform(sequence(0, length(stem) - 1), n -> substring(stem, 1, n))")).alias("start")
+    extended = closed.select("stem", inside).join(closed.select(F.col("stem").alias("start")), "start").select("stem").distinct()
+    best = closed.join(extended, "stem", "left_anti").orderBy(F.desc("toxic"), "stem").limit(size)
+    return sorted(r.stem for r in best.collect())  # at most the lexicon's size
 
 
 def choose_open_stems(labelled: DataFrame, stems: list[str], toxic: int, clean: int) -> list[str]:
@@ -312,7 +314,7 @@ def learn(
     halves = [smallest_hashes(usable.where(F.col("label") == v), "__id", sample_rows // 2) for v in (0, 1)]
     sample = F.broadcast(halves[0].unionByName(halves[1]))  # at most sample_rows ids and labels
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    labelled = rows.join(sample, rows[id_col] == F.col("__id")).select("text", "label", F.col("__id").cast("long"))
+    labelled = rows.join(sample, rows[id_col] == F.col("__id")).select("text", "label", "__id")
     labelled = cut_lineage(one_of_copies(labelled), "labelled")
     counted = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("rows")).collect()
     numbers, rows_of = ({r.label: r[c] for r in counted} for c in ("texts", "rows"))
@@ -350,9 +352,11 @@ def score(
     the documents themselves with ``__toxic_score`` added.
 
     Null and empty texts have no hits and get the score of such a text. Repeated rows are scored
-    alike; a null id stays null; an empty table gives no rows. Map-only.
+    alike; a null id stays null, and ids may be of any type; an empty table gives no rows. A column
+    of the documents named ``__toxic_score`` is replaced. Map-only.
     """
     if keep_columns:
+        docs = docs.drop("__toxic_score")
         position = docs.columns.index(text_col)
         schema = StructType([*docs.schema, StructField("__toxic_score", DoubleType())])
     else:
