@@ -131,3 +131,14 @@ def test_method_agreement_adds_up(spark):
     exclusive = [k for k in r if k.startswith("weighted_")]
     assert sum(r[k] for k in exclusive) == 200
     assert r["all_correct"] == sum(all(x) for x in rows)
+
+
+def test_set_votes_use_more_tasks_for_more_rows(spark, monkeypatch):
+    rows = [(f"p{i // 10}" if i >= 10 else None, i % 10, "ab"[i % 3 % 2], i % 3 == 1, float(i % 7)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "problem_id string, response_idx int, final_answer string, is_correct boolean, s double")
+    few = v.set_votes(df, [2, 3, 32], ["s"])
+    monkeypatch.setattr(v, "TASK_ROWS", 100, raising=False)
+    many = v.set_votes(df, [2, 3, 32], ["s"])
+    assert many.rdd.getNumPartitions() >= 50
+    assert sorted(map(repr, many.collect())) == sorted(map(repr, few.collect())) and many.count() == 500 * 2 * 2
+    assert v.set_votes(df.limit(0), [2], ["s"]).count() == 0

@@ -14,9 +14,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from voteframe.functions import grading as g
 from voteframe.functions.grading import Grader
 from voteframe.functions.text import strip
-from voteframe.operators.ordering import row_numbers
+from voteframe.operators.ordering import HOT_ROWS, row_numbers
 from voteframe.schemas import PROBLEM_VOTE_SCORES
 
+#: Rows that one task of the set votes gets, on average: behind the shuffle each is copied for every set size.
+TASK_ROWS = 25_000
+
 
 def clean_score(name: str) -> Column:
     """A score as vote weight: null and NaN count as 0."""
@@ -105,6 +108,18 @@ def attach_votes(
     return joined.withColumns({f: F.coalesce(F.col(f), F.lit(False)) for f in flags})
 
 
+def numbered_in_tasks(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:
+    """``row_numbers`` for rows that multiply behind the shuffle: the number of tasks grows with the
+    rows, so that what a task holds does not. One job counts the rows per key. With an oversized key
+    the rows are numbered in chunks instead."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    found = sizes.agg(F.sum("n").alias("rows"), F.max("n").alias("largest")).first()
+    if (found.largest or 0) > HOT_ROWS:
+        return row_numbers(df, keys, order, name)
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-(found.rows or 0) // TASK_ROWS))
+    return row_numbers(df.repartition(tasks, *keys), keys, order, name, chunk="never")
+
+
 def set_votes(
     df: DataFrame, sizes: Sequence[int], scores: Sequence[str] = (),
     keys: Sequence[str] = ("problem_id",), correct: str = "is_correct",
@@ -120,7 +135,7 @@ def set_votes(
     # Numbering shuffles each response once, by problem; the copies for the sizes are made behind
     # that shuffle and counted where they are.
     slim = df.select(*keys, "response_idx", "final_answer", correct, *scores)
-    spread = row_numbers(slim, keys, "response_idx", "__pos").withColumn(
+    spread = numbered_in_tasks(slim, keys, "response_idx", "__pos").withColumn(
         "set_size", F.explode(F.array(*[F.lit(s) for s in sizes]))
     ).withColumn("set_no", F.floor(F.col("__pos") / F.col("set_size")))
     answer = F.when(F.col("final_answer") != "", F.col("final_answer"))
