@@ -1,11 +1,10 @@
 """Quality rules: base counts of every text, and a likelihood ratio of hashed word n-grams.
 
 Words and pairs of words are hashed into buckets. Two multinomials over the buckets are estimated:
-one of all documents, one of a bounded sample of trusted documents. A text's score is the mean
-log-likelihood ratio of its n-grams, and it is kept if the score reaches a fixed quantile of the
-trusted documents' scores less a multiple of their
-spread below the median. Texts are read where they lie; only bucket counts and the
-sample's scores move.
+one of all documents, one of all trusted documents. A text's score is the mean log-likelihood ratio
+of its n-grams, and it is kept if the score reaches a fixed quantile of the trusted documents' scores
+less a multiple of their spread below the median. Nothing is sampled. Texts are read where they lie,
+and shuffled once to find those of trusted documents; beside them only bucket counts and scores move.
 """
 
 from __future__ import annotations
@@ -16,8 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from voteframe.llm.common import SAMPLE_ROWS, map_arrow, slices, smallest_hashes
+from voteframe.llm.common import map_arrow, slices
 from voteframe.llm.words import Words, covered, mix
+from voteframe.operators.ordering import exact_percentiles
+from voteframe.operators.selection_by_radix import BITS
+from voteframe.session import cut_lineage
 
 BUCKETS = 1 << 14
 WINDOW = 8
@@ -76,32 +78,28 @@ def mean_scores(words: Words, weights: np.ndarray) -> np.ndarray:
     return total / np.maximum(np.bincount(doc, minlength=n), 1)
 
 
-def bucket_counts(docs: DataFrame, text_col: str, n: int, trusted: str | None = None) -> DataFrame:
-    """Counts of n-grams per bucket over all rows, and over the rows marked by ``trusted``."""
-    cols = [F.col(text_col).cast("string").alias("text")]
-    cols.append((F.col(trusted) if trusted else F.lit(False)).alias("trusted"))
+def bucket_counts(docs: DataFrame, text_col: str, n: int) -> DataFrame:
+    """Counts of n-grams per bucket over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        counts = np.zeros(n, np.int64)
         for batch in slices(batches, "text"):
-            ids, doc = buckets(Words(batch.column(0)), n)
-            raw += np.bincount(ids, minlength=n)
-            marks = np.array(batch.column(1).fill_null(False).to_pylist(), bool)
-            if marks.any():
-                target += np.bincount(ids[marks[doc]], minlength=n)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
+            ids, _ = buckets(Words(batch.column(0)), n)
+            counts += np.bincount(ids, minlength=n)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["bucket", "n"])
 
-    parts = map_arrow(docs.select(*cols), run, "bucket long, raw long, target long")
-    return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    parts = map_arrow(docs.select(F.col(text_col).cast("string").alias("text")), run, "bucket long, n long")
+    return parts.groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def log_ratios(counts: DataFrame, n: int, smoothing: float = 1.0) -> np.ndarray:
+def log_ratios(raw_counts: DataFrame, target_counts: DataFrame, n: int, smoothing: float = 1.0) -> np.ndarray:
     """Log-likelihood ratio of trusted and raw text per bucket: ``n`` numbers, however large the
     corpus is."""
     raw, target = np.zeros(n), np.zeros(n)
-    for row in counts.collect():
-        raw[row.bucket], target[row.bucket] = row.raw, row.target
+    for counts, found in ((raw_counts, raw), (target_counts, target)):
+        for row in counts.collect():
+            found[row.bucket] = row.n
     part = lambda x: np.log((x + smoothing) / (x.sum() + smoothing * n))
     return part(target) - part(raw) if target.sum() else np.zeros(n)
 
@@ -123,32 +121,30 @@ def scores(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str, bas
 
 
 def threshold(trusted_scores: DataFrame, quantile: float, spreads: float) -> float:
-    """The sample's low quantile, less ``spreads`` times its distance from the median; keeps all
-    where there is no sample."""
-    row = trusted_scores.agg(F.expr(f"percentile(score, array({quantile}, 0.5))").alias("q")).first()
-    return float("-inf") if row.q is None else row.q[0] - spreads * (row.q[1] - row.q[0])
+    """The trusted scores' low quantile, less ``spreads`` times its distance from the median; keeps
+    all where there are none. Exact, and no buffer holds the scores."""
+    low, middle = exact_percentiles(trusted_scores, "score", [quantile, 0.5], few=1 << BITS).first()[0]
+    return float("-inf") if low is None else low - spreads * (middle - low)
 
 
 def quality(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_buckets: int = BUCKETS, quantile: float = QUANTILE, spreads: float = SPREADS,
-    sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """One row per document: base counts, ``score`` (mean log-likelihood ratio), ``base_failed``,
     ``kept``.
 
-    ``trusted`` holds the ids of trusted documents; at most ``sample_rows`` of them (those with the
-    smallest hashes) define the target. All documents define the raw multinomial and all are scored.
+    ``trusted`` holds the ids of trusted documents, all of which define the target and the threshold.
+    All documents define the raw multinomial and all are scored.
     A null or empty text has no words and fails the base rule; with no trusted document every score
     is 0 and only the base rule decides; a null id is never trusted; repeated rows are scored alike.
     """
     ids = trusted.select(F.col(id_col).alias("__id")).where(F.col("__id").isNotNull()).distinct()
-    sample = F.broadcast(smallest_hashes(ids, "__id", sample_rows))  # a list of at most sample_rows ids
     slim = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    marked = slim.join(sample, slim[id_col] == F.col("__id"), "left").withColumn("__trusted", F.col("__id").isNotNull())
-    weights = log_ratios(bucket_counts(marked, "text", n_buckets, "__trusted"), n_buckets)
-    chosen = slim.join(sample, slim[id_col] == F.col("__id"), "left_semi")
-    limit = threshold(scores(chosen, weights, id_col, "text", False), quantile, spreads)
-    scored = scores(slim, weights, id_col, "text", True)
+    # The ids grow with the table, so they are dealt out and never broadcast.
+    chosen = slim.join(ids.hint("shuffle_hash"), slim[id_col] == F.col("__id"), "left_semi")
+    weights = log_ratios(bucket_counts(slim, "text", n_buckets), bucket_counts(chosen, "text", n_buckets), n_buckets)
+    scored = cut_lineage(scores(slim, weights, id_col, "text", True), "scores")
+    limit = threshold(scored.join(ids, scored["doc_id"] == F.col("__id"), "left_semi"), quantile, spreads)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= F.lit(limit)))

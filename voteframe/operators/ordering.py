@@ -265,21 +265,23 @@ def exact_percentiles(
     hot_rows: int = HOT_ROWS,
     chunk: str = "auto",
     weight: str | None = None,
+    few: int | None = None,
 ) -> DataFrame:
     """Array of linearly interpolated percentiles per key (one row in all without keys).
 
     Exact, and without holding a group's values in one buffer. Groups of up to ``hot_rows`` rows are
     read off their counted distinct values in a window; larger ones, and a whole table, by radix selection.
-    ``weight`` names a column of counts if the input is already counted.
+    ``weight`` names a column of counts if the input is already counted; ``few`` is the number of rows up to which radix
+    selection tells all values apart in one pass.
     """
     keys = list(keys)
     if not keys or chunk == "always":
-        return _interpolated(select_places(df, value, fractions, keys, weight), fractions, keys, name)
+        return _interpolated(select_places(df, value, fractions, keys, weight, few), fractions, keys, name)
     hot = oversized(df, keys, hot_rows)
     if hot is None:
         return _window_percentiles(df, value, fractions, keys, name, weight)
     large, rest = (null_safe_join(df, hot, keys, how) for how in ("left_semi", "left_anti"))
-    found = _interpolated(select_places(large, value, fractions, keys, weight), fractions, keys, name)
+    found = _interpolated(select_places(large, value, fractions, keys, weight, few), fractions, keys, name)
     return found.unionByName(_window_percentiles(rest, value, fractions, keys, name, weight))
 
 

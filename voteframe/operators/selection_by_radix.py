@@ -65,21 +65,22 @@ def found_in(bins: DataFrame, wanted: Column) -> DataFrame:
 
 
 def select_places(
-    df: DataFrame, value: str, fractions: Sequence[float], keys: Sequence[str] = (), weight: str | None = None
+    df: DataFrame, value: str, fractions: Sequence[float], keys: Sequence[str] = (), weight: str | None = None,
+    few: int | None = None,
 ) -> DataFrame:
     """``keys, __t, __value, __total``: for each fraction of each group the values at its two neighbouring places
     (numbers 2i and 2i + 1) in the order of ``value``, and the rows of the group. Null values are left
-    out; a null key is a group. Starts jobs: one write of the columns, one for their ends and sizes, and one per pass."""
+    out; a null key is a group. ``few`` replaces ``FEW``. Starts jobs: one write of the columns, one for their ends and sizes, and one per pass."""
     from voteframe.operators.ordering import null_safe_join
 
-    keys = list(keys)
+    keys, few = list(keys), FEW if few is None else few
     n = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
     rows = df.where(F.col(value).isNotNull())
     rows = rows.select(*keys, F.col(value).cast("double").alias("__value"), integer_of(df, value).alias("__int"), n.alias("__n"))
     rows = cut_lineage(rows, "values")
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min("__int").alias("low"), F.max("__int").alias("high"))
     ends = sizes.agg(F.max("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high")).first()
-    shift = 0 if ends.low is None or ends.c <= FEW else first_shift(ends.low, ends.high)
+    shift = 0 if ends.low is None or ends.c <= few else first_shift(ends.low, ends.high)
     bins = counted(rows, keys, shift)
     order = Window.partitionBy(*keys).orderBy("__bin")
     below = F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -88,7 +89,7 @@ def select_places(
     while shift:
         state = cut_lineage(state.select(*keys, F.col("__bin").alias("__open"), "__c", "__total", "__found"), "places")
         most, before = state.agg(F.max("__c")).first()[0], shift
-        shift = 0 if most <= FEW else max(0, shift - BITS)
+        shift = 0 if most <= few else max(0, shift - BITS)
         # At most two bins per fraction of a group are open.
         opened = rows.withColumn("__open", F.expr(f"shiftright(__int, {before})"))
         opened = null_safe_join(opened, state.select(*keys, "__open"), [*keys, "__open"], "left_semi")
