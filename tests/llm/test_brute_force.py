@@ -450,6 +450,36 @@ def test_edits_take_the_next_document(spark, texts):
         assert rows[here].near_edited == fingerprints.likeness(a[0], b[0]) and rows[here].near_next == fingerprints.likeness(a[0], c[0])
 
 
+def test_no_range_of_the_order_is_longer_than_a_task_sorts(spark, monkeypatch):
+    rng, most = random.Random(6), 20_000
+    rows = [(i, "".join(rng.choice("abcdefghij ") for _ in range(2_000 if i < 150 else 20))) for i in range(1_000)]
+    docs = spark.createDataFrame(rows + [(None, "no id"), (None, None)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(fingerprints, "RANGE", most, raising=False)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        found = fingerprints.neighbours(docs).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    held = {}
+    for r in found:
+        held[r.task] = held.get(r.task, 0) + len(r.text)
+    assert max(held.values()) < 2 * most and len(held) > sum(len(t) for _, t in rows) / (2 * most)
+    texts, order = dict(rows), [i for i, _ in reversed(rows)]
+    pairs = {r.doc_id: (r.text, r.next_text) for r in found if r.doc_id is not None}
+    assert len(found) == 1_002 and all(pairs[a] == (texts[a], texts[b]) for a, b in zip(order, order[1:]))
+    lost = [(r.text, r.next_text) for r in found if r.doc_id is None]
+    assert sorted([pairs[0], *lost]) in (sorted([(texts[0], a), (a, b), (b, texts[999])]) for a, b in (("no id", ""), ("", "no id")))
+
+
+def test_starts_of_ranges_share_the_sizes():
+    assert fingerprints.range_starts([], [], 5) == [] and fingerprints.range_starts([(1, 1)], [9], 3) == []
+    keys = [(i, 0) for i in range(8)]
+    assert fingerprints.range_starts(keys, [1] * 8, 4) == [(2, 0), (4, 0), (6, 0)]
+    assert fingerprints.range_starts(keys, [1, 1, 1, 1, 4, 4, 4, 8], 3) == [(5, 0), (7, 0)]
+    assert fingerprints.range_starts(keys, [1, 1, 100, 1, 1, 1, 1, 1], 4) == [(3, 0)]
+
+
 def test_pipeline_stages_take_effect(spark, docs, texts):
     sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
     import corpus_pipeline
